@@ -10,7 +10,6 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -52,20 +51,19 @@ _EMOJI = _cls(config.EMOJI_RANGES)
 _EMOJI_OR_COMPANION = _EMOJI + _cls((c, c) for c in config.EMOJI_COMPANIONS)
 
 
+def _each(fn, texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else fn(t) for t in texts.to_pylist()], pa.string())
+
+
+# Arrow's own utf8_normalize leaves letters decomposed, hence unicodedata.
 @F.arrow_udf(StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts, form="NFKC")
+    return _each(lambda t: unicodedata.normalize("NFKC", t), texts)
 
 
 @F.arrow_udf(StringType())
 def _nfkc_casefold(texts: pa.Array) -> pa.Array:
-    return pa.array(
-        [
-            None if t is None else unicodedata.normalize("NFKC", t).casefold()
-            for t in texts.to_pylist()
-        ],
-        pa.string(),
-    )
+    return _each(lambda t: unicodedata.normalize("NFKC", t).casefold(), texts)
 
 
 def nfkc(text: Column) -> Column:

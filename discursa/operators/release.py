@@ -64,26 +64,32 @@ def raw_lines(records: DataFrame) -> DataFrame:
     return records.select("post", "record_no", fx.join_record(F.col("fields")).alias("value"))
 
 
-def write_raw(masked: DataFrame, header: str, path: str, records_per_file: int = 5_000_000) -> None:
-    """Masked records as text under path/post=..., in record order, each file with a header.
+def write_lines(rows: DataFrame, header: str, path: str, per_file: int = 5_000_000) -> None:
+    """Lines (post, record_no, value) as text under path/post=.../slice=..., header first.
 
     A large post is spread over several files by record number, so no task holds it whole.
     """
-    rows = raw_lines(masked).withColumn(
-        "slice", F.floor(F.col("record_no") / records_per_file).cast("bigint")
+    rows = rows.select("post", "record_no", "value").withColumn(
+        "slice", F.floor(F.col("record_no") / per_file).cast("bigint")
     )
     heads = rows.select("post", "slice").distinct().select(
-        "post", F.lit(0).cast("bigint").alias("record_no"), F.lit(header).alias("value"), "slice"
+        "post", F.lit(-1).cast("bigint").alias("record_no"), F.lit(header).alias("value"), "slice"
     )
     (
         rows.unionByName(heads)
         .repartition("post", "slice")
         .sortWithinPartitions("post", "slice", "record_no")
+        .drop("record_no")
         .write.partitionBy("post", "slice")
         .text(path)
     )
 
 
+def write_raw(masked: DataFrame, header: str, path: str, per_file: int = 5_000_000) -> None:
+    """Masked records in record order, in the shape they came in."""
+    write_lines(raw_lines(masked), header, path, per_file)
+
+
 def mention_graph(comments: DataFrame, salt: bytes) -> DataFrame:
     """Edges author -> mentioned account, for accounts that also wrote comments.
 

@@ -206,8 +206,7 @@ def bootstrap_scores_by_hash(
         (F.sum("n").over(order) - F.col("n")).alias("lo"),
         F.sum("n").over(order).alias("hi"),
         F.sum("n").over(W.partitionBy()).alias("total"),
-        F.explode(F.sequence(F.lit(1), F.lit(n_resamples))).alias("rep"),
-    )
+    ).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_resamples))))
     draws = preds.select(
         F.explode(F.sequence(F.lit(1), F.lit(n_resamples))).alias("rep"), F.col(id_col).alias("_id")
     )

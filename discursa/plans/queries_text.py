@@ -412,10 +412,10 @@ _FENCE = "'```json' || chr(10) || props || chr(10) || '```'"
 _RESPONSE = f"CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN {_FENCE} WHEN 2 THEN 'answer: ' || props || ' ok' ELSE 'no json' END"
 
 
-@query("json_salvage", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+@query("json_salvage", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS k FROM events")
 def json_salvage(spark, sf):
     v = an.salvage_json(F.expr(_RESPONSE))
-    return fs.table(spark, sf, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"))
+    return fs.table(spark, sf, "events").select("event_id", F.coalesce(F.try_variant_get(v, "$.k", "bigint"), F.lit(-1)).alias("k"))
 
 
 _NEAR = """CASE event_id % 8 WHEN 0 THEN 'Unclear' WHEN 1 THEN 'supports' WHEN 2 THEN 'criticises'

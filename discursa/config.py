@@ -47,28 +47,44 @@ EMOJI_EMOTION = {
 }
 
 # ---- fixed values: spam vocabulary, matched on NFKC + case-folded text --------
-SPAM_PATTERN = (
-    r"slot|gacor|maxwin|max win|jackpot|jekpot|\bjp\b|\brtp\b|\bwd\b|"
-    r"zoyamax|kolemax|dikasih menang|di kasih menang|bawa modal|modal \d+|"
-    r"jasa bor|bor sumur|sedot wc|sumur bor|"
-    r"olshop|open order|open jasa|promo|giveaway|cek profil|link di bio|"
-    r"bonus new member|depo(?:sit)?\b"
-)
+SPAM_TERMS = [
+    "slot", "gacor", "maxwin", "max win", "jackpot", "jekpot", r"\bjp\b", r"\brtp\b", r"\bwd\b",
+    "zoyamax", "kolemax", "dikasih menang", "di kasih menang", "bawa modal", r"modal \d+",
+    "jasa bor", "bor sumur", "sedot wc", "sumur bor",
+    "olshop", "open order", "open jasa", "promo", "giveaway", "cek profil", "link di bio",
+    "bonus new member", r"depo(?:sit)?\b",
+]
 
-# ---- fixed values: topic vocabulary, matched case-insensitively ---------------
-TOPIC_PATTERNS = {
-    "judge_pay": r"gaji hakim|naik.{0,6}(280|300|hampir 300)|280\s*%|300\s*%|kenaikan gaji",
-    "judiciary": r"\bhakim\b|\bjaksa\b|\bvonis\b|pengadilan|sidang|dakwaan|tuntutan|yang mulia|"
-    r"kejaksaan|\bkpk\b|hukuman|banding|kasasi|penjara|terdakwa|keadilan",
-    "devices": r"chromebook|chrome ?os|laptop|\bgoogle\b|pengadaan|e-?katalog|"
-    r"digitalisasi|perangkat|mark ?up|9[.,]3 ?trili",
-    "curriculum": r"kurikulum|merdeka belajar|pendidikan|guru|sekolah|siswa|ujian nasional|"
-    r"zonasi|mendikbud|anbk",
-    "gig_work": r"gojek|go-?jek|ojol|driver|grab|lapangan (kerja|pekerjaan)|\bceo\b|startup",
-    "politics": r"jokowi|mulyono|prabowo|gibran|presiden|pemerintah|rezim|istana|"
-    r"\bdpr\b|partai|menteri|tom lembong|negara|konoha",
-    "faith_morals": r"allah|tuhan|akhirat|dosa|azab|karma|doa|zolim|zalim|dzolim|"
-    r"neraka|surga|amin|aamiin|insya",
+# ---- fixed values: topic vocabulary, matched on lower-case clean text ---------
+TOPIC_TERMS = {
+    "judge_pay": [
+        "gaji hakim", r"naik.{0,6}(280|300|hampir 300)", r"280\s*%", r"300\s*%", "kenaikan gaji",
+    ],
+    "judiciary": [
+        r"\bhakim\b", r"\bjaksa\b", r"\bvonis\b", "pengadilan", "sidang", "dakwaan", "tuntutan",
+        "yang mulia", "kejaksaan", r"\bkpk\b", "hukuman", "banding", "kasasi", "penjara", "terdakwa",
+        "keadilan",
+    ],
+    "devices": [
+        "chromebook", "chrome ?os", "laptop", r"\bgoogle\b", "pengadaan", "e-?katalog",
+        "digitalisasi", "perangkat", "mark ?up", "9[.,]3 ?trili",
+    ],
+    "curriculum": [
+        "kurikulum", "merdeka belajar", "pendidikan", "guru", "sekolah", "siswa", "ujian nasional",
+        "zonasi", "mendikbud", "anbk",
+    ],
+    "gig_work": [
+        "gojek", "go-?jek", "ojol", "driver", "grab", "lapangan (kerja|pekerjaan)", r"\bceo\b",
+        "startup",
+    ],
+    "politics": [
+        "jokowi", "mulyono", "prabowo", "gibran", "presiden", "pemerintah", "rezim", "istana",
+        r"\bdpr\b", "partai", "menteri", "tom lembong", "negara", "konoha",
+    ],
+    "faith_morals": [
+        "allah", "tuhan", "akhirat", "dosa", "azab", "karma", "doa", "zolim", "zalim", "dzolim",
+        "neraka", "surga", "amin", "aamiin", "insya",
+    ],
 }
 
 # ---- fixed values: stop-words of the vocabulary reports -----------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from discursa import config
+from discursa.functions.binding import let
 
 
 def prompt(text: Column, system: str | None = None, examples=()) -> Column:
@@ -32,12 +33,15 @@ def salvage_json(response: Column) -> Column:
 
 def match_label(value: Column, classes: list[str]) -> Column:
     """Exact class, else the only class that is a prefix of the value or has it as prefix."""
-    needle = F.lower(F.replace(F.trim(value), F.lit(" "), F.lit("")))
     domain = F.array(*[F.lit(c) for c in classes])
-    near = F.filter(domain, lambda k: k.startswith(needle) | needle.startswith(k))
-    return F.when(F.array_contains(domain, needle), needle).when(
-        F.size(near) == 1, F.element_at(near, 1)
-    )
+
+    def match(needle: Column) -> Column:
+        near = F.filter(domain, lambda k: k.startswith(needle) | needle.startswith(k))
+        return F.when(F.array_contains(domain, needle), needle).otherwise(
+            let(near, lambda n: F.when(F.size(n) == 1, F.element_at(n, 1)))
+        )
+
+    return let(F.lower(F.replace(F.trim(value), F.lit(" "), F.lit(""))), match)
 
 
 def truthy(value: Column) -> Column:
@@ -45,7 +49,8 @@ def truthy(value: Column) -> Column:
     kind = F.schema_of_variant(value)
     as_text = F.try_variant_get(value, "$", "string")
     return (
-        F.when(kind == "VOID", False)
+        F.when(value.isNull(), None)
+        .when(kind == "VOID", False)
         .when(kind == "BOOLEAN", as_text == "true")
         .when(kind == "STRING", as_text != "")
         .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~as_text.isin("[]", "{}"))
@@ -58,15 +63,26 @@ def label_record(parsed: Column, stances=None, emotions=None) -> Column:
 
     Spam is always stored as unclear + neutral, whatever else the annotator said.
     """
-    spam = F.try_variant_get(parsed, "$.spam", "variant")
-    stance = match_label(F.try_variant_get(parsed, "$.stance", "string"), stances or config.STANCES)
-    emotion = match_label(
-        F.try_variant_get(parsed, "$.emotion", "string"), emotions or config.EMOTIONS
+    found = F.struct(
+        let(F.try_variant_get(parsed, "$.spam", "variant"), truthy).alias("spam"),
+        match_label(
+            F.try_variant_get(parsed, "$.stance", "string"), stances or config.STANCES
+        ).alias("stance"),
+        match_label(
+            F.try_variant_get(parsed, "$.emotion", "string"), emotions or config.EMOTIONS
+        ).alias("emotion"),
     )
-    is_spam = truthy(spam)
-    record = F.struct(
-        is_spam.alias("spam"),
-        F.when(is_spam, config.UNCLEAR).otherwise(stance).alias("stance"),
-        F.when(is_spam, config.NEUTRAL).otherwise(emotion).alias("emotion"),
-    )
-    return F.when(spam.isNotNull() & stance.isNotNull() & emotion.isNotNull(), record)
+
+    def record(r: Column) -> Column:
+        spam = r["spam"]
+        whole = spam.isNotNull() & r["stance"].isNotNull() & r["emotion"].isNotNull()
+        return F.when(
+            whole,
+            F.struct(
+                spam.alias("spam"),
+                F.when(spam, config.UNCLEAR).otherwise(r["stance"]).alias("stance"),
+                F.when(spam, config.NEUTRAL).otherwise(r["emotion"]).alias("emotion"),
+            ),
+        )
+
+    return let(found, record)

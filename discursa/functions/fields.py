@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from discursa.functions.binding import let
+
 # One field after its leading comma: a quoted run with doubled quotes, or plain text.
 _FIELD = r',("[^"]*+(?:""[^"]*+)*+"?+[^,]*+|[^,]*+)'
 _QUOTED = r'^(?s)"([^"]*+(?:""[^"]*+)*+)"?+(.*)$'
@@ -44,21 +46,13 @@ def join_record(fields: Column) -> Column:
 
 def comment_time(date: Column, clock: Column) -> Column:
     """D/M/YYYY and H.MM.SS to a zone-free timestamp; NULL when not a real date or time."""
-    d = F.split(F.trim(date), "/")
-    t = F.split(F.trim(clock), r"\.")
+    shape = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2})\.(\d{1,2})\.(\d{1,2})$"
 
-    def number(parts: Column, i: int) -> Column:
-        return F.try_element_at(parts, F.lit(i)).try_cast("int")
+    def build(stamp: Column) -> Column:
+        d, m, y, h, mi, s = (F.regexp_extract(stamp, shape, i).cast("int") for i in range(1, 7))
+        return F.when(stamp.rlike(shape), F.try_make_timestamp_ntz(y, m, d, h, mi, s))
 
-    shaped = F.trim(date).rlike(DATE_SHAPE) & F.trim(clock).rlike(
-        r"^\d{1,2}\.\d{1,2}\.\d{1,2}$"
-    )
-    return F.when(
-        shaped,
-        F.try_make_timestamp_ntz(
-            number(d, 3), number(d, 2), number(d, 1), number(t, 1), number(t, 2), number(t, 3)
-        ),
-    )
+    return let(F.concat_ws(" ", F.trim(date), F.trim(clock)), build)
 
 
 def whole_number(value: Column) -> Column:

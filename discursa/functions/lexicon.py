@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from discursa import config
 from discursa.functions import text as tx
+from discursa.functions.binding import let
 
 
 def event_phase(ts: Column, phases=None) -> Column:
@@ -21,8 +24,40 @@ def event_phase(ts: Column, phases=None) -> Column:
     return F.lit(last) if out is None else F.when(day.isNotNull(), out.otherwise(last))
 
 
-def spam_flag(text: Column, pattern: str | None = None) -> Column:
-    return tx.nfkc_casefold(text).rlike("(?U)" + (pattern or config.SPAM_PATTERN))
+_OPTIONAL = re.compile(r"\([^)]*\)[?*+]?|\[[^\]]*\][?*+]?|\\.[?*+]?|.[?*]|.\{\d*,?\d*\}")
+
+
+def required_literal(pattern: str) -> str:
+    """Longest plain run every match of a simple pattern contains ('' when there is none)."""
+    runs = re.findall(r"[^\0.^$+|]+", _OPTIONAL.sub("\0", pattern))
+    return max(runs, key=len, default="")
+
+
+def any_term(text: Column, terms: list[str]) -> Column:
+    """Does any term occur? Plain terms are substring searches; a regular expression only
+    runs on the texts that contain its required literal. `text` should be cheap (bound)."""
+    plain = [t for t in terms if re.fullmatch(r"[\w ]+", t)]
+    hits = [text.contains(t) for t in plain]
+    for p in terms:
+        if p not in plain:
+            guard = required_literal(p)
+            match = text.rlike("(?U)" + p)
+            hits.append(text.contains(guard) & match if guard else match)
+    return reduce(Column.__or__, hits)
+
+
+def spam_flag(text: Column, terms: list[str] | None = None) -> Column:
+    return any_term(tx.nfkc_casefold(text), terms or config.SPAM_TERMS)
+
+
+def spam_flag_of_clean(clean: Column, terms: list[str] | None = None) -> Column:
+    """Spam flag of a text that already is NFKC, without another trip to Python.
+
+    Same result as spam_flag for ASCII vocabularies; only letters that fold to an ASCII
+    letter plus a combining mark (such as j with caron) are not folded here.
+    """
+    folded = F.replace(F.lower(clean), F.lit("ß"), F.lit("ss"))
+    return let(folded, lambda t: any_term(t, terms or config.SPAM_TERMS))
 
 
 def emotion_of_emoji(emoji: Column, mapping=None, default: str = config.NEUTRAL) -> Column:
@@ -39,13 +74,14 @@ def emotion_of_emoji(emoji: Column, mapping=None, default: str = config.NEUTRAL)
     return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(default))
 
 
-def topics(text: Column, patterns=None) -> Column:
-    """All topics whose vocabulary occurs in the text, in vocabulary order."""
-    tags = [
-        F.when(text.rlike("(?iU)" + p), F.lit(t))
-        for t, p in (patterns or config.TOPIC_PATTERNS).items()
-    ]
-    return F.array_compact(F.array(*tags))
+def topics(text: Column, terms: dict[str, list[str]] | None = None) -> Column:
+    """All topics whose vocabulary (lower case) occurs in the text, in vocabulary order."""
+    vocab = terms or config.TOPIC_TERMS
+
+    def tags(low: Column) -> Column:
+        return F.array(*[F.when(any_term(low, words), F.lit(t)) for t, words in vocab.items()])
+
+    return F.array_compact(let(F.replace(F.lower(text), F.lit("ı"), F.lit("i")), tags))
 
 
 def text_type(emoji_only: Column, n_chars: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from discursa import config
+from discursa.functions.binding import direct, let
 
 
 def _cls(ranges) -> str:
@@ -46,9 +47,11 @@ NFKC_STABLE = [
     (0xFE0E, 0xFE0F),
     (0x1F300, 0x1FAFF),
 ]
-_UNSTABLE = f"[^{_cls(NFKC_STABLE)}]"
+# Intersections start with one cheap range test that settles nearly every character.
+_UNSTABLE = rf"[\x{{A0}}-\x{{10FFFF}}&&[^{_cls(NFKC_STABLE)}]]"
 _EMOJI = _cls(config.EMOJI_RANGES)
 _EMOJI_OR_COMPANION = _EMOJI + _cls((c, c) for c in config.EMOJI_COMPANIONS)
+_EMOJI_CHAR = rf"[\x{{2190}}-\x{{1FAFF}}&&[{_EMOJI}]]"
 
 
 def _each(fn, texts: pa.Array) -> pa.Array:
@@ -77,13 +80,17 @@ def nfkc_casefold(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """NFKC, control characters out (newline and tab count as space), spaces collapsed."""
-    visible = F.regexp_replace(nfkc(text), r"[\p{Cc}&&[^\n\t]]+", "")
+    return clean_of_nfkc(nfkc(text))
+
+
+def clean_of_nfkc(normal: Column) -> Column:
+    visible = F.regexp_replace(normal, r"[\p{Cc}&&[^\n\t]]+", "")
     return F.trim(F.regexp_replace(visible, r"(?U)\s+", " "))
 
 
 def emoji_list(text: Column) -> Column:
     """Emoji in order of appearance; skin tones stay, joiners and selectors do not."""
-    return F.regexp_extract_all(text, F.lit(f"([{_EMOJI}])"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"({_EMOJI_CHAR})"), F.lit(1))
 
 
 def emoji_string(text: Column) -> Column:
@@ -92,21 +99,27 @@ def emoji_string(text: Column) -> Column:
 
 def emoji_only(text: Column) -> Column:
     """At least one emoji, and nothing but emoji, punctuation and white space."""
-    packed = F.regexp_replace(nfkc(text), r"(?U)[\s\x1c-\x1f]+", "")
-    return packed.rlike(rf"^[{_EMOJI_OR_COMPANION}\p{{P}}]+$") & packed.rlike(
-        f"[{_EMOJI_OR_COMPANION}]"
+    return emoji_only_of_nfkc(nfkc(text), direct)
+
+
+def emoji_only_of_nfkc(normal: Column, bind=let) -> Column:
+    packed = F.regexp_replace(normal, r"(?U)[\s\x1c-\x1f]+", "")
+    return bind(
+        packed,
+        lambda p: p.rlike(rf"^[{_EMOJI_OR_COMPANION}\p{{P}}]+$")
+        & p.rlike(f"[{_EMOJI_OR_COMPANION}]"),
     )
 
 
 def dup_key(text: Column) -> Column:
     """Letters of the folded text, or its set of emoji when it has no letters."""
-    return dup_key_of_folded(nfkc_casefold(text))
+    return dup_key_of_folded(nfkc_casefold(text), direct)
 
 
-def dup_key_of_folded(folded: Column) -> Column:
+def dup_key_of_folded(folded: Column, bind=let) -> Column:
     letters = F.regexp_replace(folded, r"[^\p{L}]+", "")
-    emoji = F.array_join(F.array_sort(F.array_distinct(emoji_list(folded))), "")
-    return F.when(letters != "", letters).otherwise(emoji)
+    emoji = F.array_join(F.sort_array(F.array_distinct(emoji_list(folded))), "")
+    return bind(letters, lambda x: F.when(x != "", x).otherwise(emoji))
 
 
 def cluster_id(key: Column) -> Column:

@@ -40,7 +40,7 @@ def complete(prompt: Column, make: Callable[[], Completion]) -> Column:
 
 def offline_completion() -> Completion:
     """Rule-based stand-in for a model: spam vocabulary and emoji only."""
-    spam = re.compile(config.SPAM_PATTERN)
+    spam = re.compile("|".join(config.SPAM_TERMS))
     emotion = {c: e for e, chars in config.EMOJI_EMOTION.items() for c in chars}
 
     def ask(messages: list[dict]) -> str:

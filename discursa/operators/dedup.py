@@ -71,10 +71,16 @@ def first_in_order(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 def representatives(df: DataFrame) -> DataFrame:
     """Most liked member of every cluster (first one on ties) with the size of its cluster.
 
-    Both sides are hash-partitioned by cluster, so the join adds no shuffle.
+    One pass and one shuffle: members are combined per map task first, so a cluster of any
+    size sends one row per task. Meant for narrow frames; the row travels in the aggregate.
     """
-    top = first_in_order(df, ["cluster"], [F.desc("likes"), F.col("post"), F.col("row_no")])
-    return top.join(cluster_sizes(df), "cluster")
+    rest = [c for c in df.columns if c != "cluster"]
+    order = F.struct((-F.col("likes")).alias("likes"), "post", "row_no")
+    return (
+        df.groupBy("cluster")
+        .agg(F.count(F.lit(1)).alias("cluster_size"), F.min_by(F.struct(*rest), order).alias("r"))
+        .select("cluster", "r.*", "cluster_size")
+    )
 
 
 def dense_cluster_ids(df: DataFrame, ordinals_per_bucket: int = 65_536) -> DataFrame:

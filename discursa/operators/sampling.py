@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from discursa import config
 from discursa.functions import lexicon as lx
-from discursa.functions import text as tx
 from discursa.operators import dedup, ranking
 from discursa.session import stage
 
@@ -27,12 +26,15 @@ def with_strata(df: DataFrame) -> DataFrame:
 
 
 def candidates(enriched: DataFrame) -> DataFrame:
-    """Narrow cluster representatives with text, strata and the spam vocabulary flag."""
+    """Narrow cluster representatives with text, strata and the spam vocabulary flag.
+
+    Staged: samplers pass over this table several times, the texts are read once.
+    """
     narrow = enriched.select(
         "id", "post", "row_no", "cluster", "phase", "likes", "n_chars", "emoji_only",
-        lx.spam_flag(F.col("clean")).alias("spam_ind"),
+        lx.spam_flag_of_clean(F.col("clean")).alias("spam_ind"),
     )
-    return with_strata(dedup.representatives(narrow).where(F.col("n_chars") > 0))
+    return stage(with_strata(dedup.representatives(narrow).where(F.col("n_chars") > 0)), "reps")
 
 
 def strata_mass(reps: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -82,7 +84,6 @@ def gold_sample(reps: DataFrame, plan=config.SamplingPlan()) -> DataFrame:
 
     The first three parts are bounded by the plan, so anti joins against them broadcast.
     """
-    reps = stage(reps, "reps")
     h = ranking.shuffle_key(F.col("id"), plan.seed)
 
     def part(df: DataFrame, name: str) -> DataFrame:

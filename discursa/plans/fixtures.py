@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from discursa import config
 from discursa.operators import dedup, findings, sampling
+from discursa.sources.tables import read_table
 
 SALT = b"demo-salt"
 
@@ -50,7 +51,7 @@ COMMENT_EXPRS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +136,8 @@ k AS (SELECT *, CASE WHEN letters <> '' THEN letters ELSE emoji_set END AS dup_k
   md5(CASE WHEN letters <> '' THEN letters ELSE emoji_set END) AS cluster FROM k1)"""
 )
 
-SPAM_SQL = f"regexp_matches({fold_sql('clean')}, '{config.SPAM_PATTERN}')"
+SPAM_RX = "|".join(config.SPAM_TERMS)
+SPAM_SQL = f"regexp_matches({fold_sql('clean')}, '{SPAM_RX}')"
 R = (
     K
     + f""",
@@ -179,8 +181,8 @@ def mask_sql(x: str) -> str:
 
 def topics_sql(x: str) -> str:
     tags = ", ".join(
-        f"CASE WHEN regexp_matches({x}, '(?i){p}') THEN '{t}' END"
-        for t, p in config.TOPIC_PATTERNS.items()
+        f"CASE WHEN regexp_matches({x}, '(?i){'|'.join(p)}') THEN '{t}' END"
+        for t, p in config.TOPIC_TERMS.items()
     )
     return f"list_filter([{tags}], lambda t: t IS NOT NULL)"
 

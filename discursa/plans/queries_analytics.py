@@ -762,7 +762,7 @@ def score_corpus(spark, sf):
 
 @query(
     "annotate_corpus",
-    f"""WITH {fs.K}, a AS (SELECT *, regexp_matches(lower(substr(clean, 1, 1500)), '{config.SPAM_PATTERN}') AS spam FROM k)
+    f"""WITH {fs.K}, a AS (SELECT *, regexp_matches(lower(substr(clean, 1, 1500)), '{fs.SPAM_RX}') AS spam FROM k)
 SELECT id, CAST(spam AS INTEGER) AS spam, 'unclear' AS stance FROM a""",
 )
 def annotate_corpus(spark, sf):

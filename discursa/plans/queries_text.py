@@ -344,7 +344,7 @@ def split_id(spark, sf):
 
 @query("spam_flag", f"WITH {fs.K} SELECT id, {fs.SPAM_SQL} AS spam FROM k")
 def spam_flag(spark, sf):
-    return fs.enriched(spark, sf).select("id", lx.spam_flag(F.col("clean")).alias("spam"))
+    return fs.comments(spark, sf).select("id", lx.spam_flag(F.col("text")).alias("spam"))
 
 
 _EMOJI_MAP = "MAP {" + ", ".join(f"'{c}': '{e}'" for e, cs in config.EMOJI_EMOTION.items() for c in cs) + "}"

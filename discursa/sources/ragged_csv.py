@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from discursa.functions import fields as fx
+from discursa.functions.binding import let
 
 _QUOTED_TAIL = r'"[^"]*+(?:""[^"]*+)*+'
 _CLOSED = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+|),'
@@ -170,38 +171,48 @@ def parse_records(records: DataFrame) -> DataFrame:
 
     Blank records are dropped (they keep their number, so ids stay stable).
     """
-    f = F.col("fields")
     off = F.when(F.col("threaded"), 2).otherwise(0)
 
-    def at(i: int) -> Column:
-        return F.try_element_at(f, (off + F.lit(i + 1)).cast("int"))
+    def typed(f: Column) -> Column:
+        def at(i: int) -> Column:
+            return F.try_element_at(f, (off + F.lit(i + 1)).cast("int"))
 
-    split_ts = (
-        (F.size(f) == F.col("n_header") + 1)
-        & F.trim(at(1)).rlike(fx.DATE_SHAPE)
-        & at(2).rlike(fx.CLOCK_SHAPE)
-    )
-    quoted_ts = (F.size(f) == F.col("n_header")) & at(1).contains(",")
-    comma = F.instr(at(1), ",")
-    ts = F.when(split_ts, fx.comment_time(at(1), at(2))).when(
-        quoted_ts,
-        fx.comment_time(
-            F.substr(at(1), F.lit(1), comma - 1), F.substr(at(1), comma + 1)
-        ),
-    )
-    likes = fx.whole_number(F.when(split_ts, at(3)).when(quoted_ts, at(2)))
-    body = F.when(split_ts, at(4)).when(quoted_ts, at(3))
-    typed = (
-        records.where(F.exists(f, lambda x: F.trim(x) != ""))
-        .withColumn("id", F.concat_ws("#", "post", "record_no"))
-        .withColumn("username", F.trim(at(0)))
-        .withColumn("ts", ts)
-        .withColumn("likes", likes)
-        .withColumn("is_reply", fx.is_reply(F.col("threaded"), F.element_at(f, 1)))
-        .withColumn("text", body)
+        split_ts = (
+            (F.size(f) == F.col("n_header") + 1)
+            & F.trim(at(1)).rlike(fx.DATE_SHAPE)
+            & at(2).rlike(fx.CLOCK_SHAPE)
+        )
+        quoted_ts = (F.size(f) == F.col("n_header")) & at(1).contains(",")
+        comma = F.instr(at(1), ",")
+        shape = F.when(split_ts, 1).when(quoted_ts, 2)
+        return let(
+            shape,
+            lambda s: F.struct(
+                F.trim(at(0)).alias("username"),
+                F.when(s == 1, fx.comment_time(at(1), at(2)))
+                .when(
+                    s == 2,
+                    fx.comment_time(
+                        F.substr(at(1), F.lit(1), comma - 1), F.substr(at(1), comma + 1)
+                    ),
+                )
+                .alias("ts"),
+                fx.whole_number(F.when(s == 1, at(3)).when(s == 2, at(2))).alias("likes"),
+                fx.is_reply(F.col("threaded"), F.element_at(f, 1)).alias("is_reply"),
+                F.when(s == 1, at(4)).when(s == 2, at(3)).alias("text"),
+            ),
+        )
+
+    fields = F.col("fields")
+    rows = records.where(F.exists(fields, lambda x: F.trim(x) != "")).withColumn(
+        "_r", let(fields, typed)
     )
-    return typed.withColumn(
-        "ok", F.col("ts").isNotNull() & F.col("likes").isNotNull() & F.col("text").isNotNull()
+    r = F.col("_r")
+    return rows.select(
+        *records.columns,
+        F.concat_ws("#", "post", "record_no").alias("id"),
+        "_r.*",
+        (r["ts"].isNotNull() & r["likes"].isNotNull() & r["text"].isNotNull()).alias("ok"),
     )
 
 

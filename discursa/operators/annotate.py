@@ -38,16 +38,19 @@ def complete(prompt: Column, make: Callable[[], Completion]) -> Column:
     return run(prompt)
 
 
-def offline_completion() -> Completion:
+def offline_completion(
+    spam_terms=tuple(config.SPAM_TERMS), emoji_emotion=tuple(config.EMOJI_EMOTION.items()),
+    stance: str = config.UNCLEAR, neutral: str = config.NEUTRAL,
+) -> Completion:
     """Rule-based stand-in for a model: spam vocabulary and emoji only."""
-    spam = re.compile("|".join(config.SPAM_TERMS))
-    emotion = {c: e for e, chars in config.EMOJI_EMOTION.items() for c in chars}
+    spam = re.compile("|".join(spam_terms))
+    emotion = {c: e for e, chars in emoji_emotion for c in chars}
 
     def ask(messages: list[dict]) -> str:
         text = messages[-1]["content"]
-        felt = next((emotion[c] for c in text if c in emotion), config.NEUTRAL)
+        felt = next((emotion[c] for c in text if c in emotion), neutral)
         return json.dumps(
-            {"spam": bool(spam.search(text.casefold())), "stance": config.UNCLEAR, "emotion": felt}
+            {"spam": bool(spam.search(text.casefold())), "stance": stance, "emotion": felt}
         )
 
     return ask

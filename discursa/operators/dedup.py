@@ -85,7 +85,9 @@ def representatives(df: DataFrame) -> DataFrame:
 
 def dense_cluster_ids(df: DataFrame, ordinals_per_bucket: int = 65_536) -> DataFrame:
     """Opt-in dense ids: 0, 1, 2... by first appearance in (post, row_no) order."""
-    firsts = df.groupBy("cluster").agg(F.min(F.struct("post", "row_no")).alias("first"))
+    firsts = df.groupBy("cluster").agg(
+        F.min(F.struct("post", "row_no")).alias("first"), F.count(F.lit(1)).alias("cluster_size")
+    )
     ranked = ranking.bucketed_rank(
         firsts,
         [],
@@ -96,7 +98,7 @@ def dense_cluster_ids(df: DataFrame, ordinals_per_bucket: int = 65_536) -> DataF
         [F.col("first")],
         rank="dense",
     )
-    return ranked.select("cluster", (F.col("dense") - 1).alias("dense_id"))
+    return ranked.select("cluster", "cluster_size", (F.col("dense") - 1).alias("dense_id"))
 
 
 def dedupe_by_priority(df: DataFrame, id_col: str = "id", priority: str = "part") -> DataFrame:

@@ -195,9 +195,13 @@ def bootstrap_scores_by_hash(
     """Row-level variant with hash-driven draws (reproducible in plain SQL).
 
     Every row makes one draw per resample; the drawn position falls into one cell of the
-    cumulated confusion counts. The cell table has K*K rows per resample and is broadcast.
+    cumulated confusion counts. The cell table has at most (K+1)^2 rows per resample (labels
+    outside the domain count as one) and is broadcast.
     """
-    preds = preds.where(F.col("y_pred").isNotNull())
+    known = {
+        c: F.when(F.col(c).isin(classes), F.col(c)).otherwise("(other)") for c in ("y_true", "y_pred")
+    }
+    preds = preds.where(F.col("y_pred").isNotNull()).withColumns(known)
     counts = preds.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
     order = W.partitionBy().orderBy("y_true", "y_pred")
     cells = counts.select(

@@ -35,7 +35,7 @@ def characteristic_class(
     """
     sizes = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("size"))
     counts = term_class_counts(df, text, label)
-    per_term = counts.join(F.broadcast(sizes), "label", "left").groupBy("term").agg(
+    per_term = counts.join(sizes, "label", "left").groupBy("term").agg(
         F.sum("n").alias("n"),
         F.min_by("label", F.struct(-(F.col("n") / F.col("size")), "label")).alias("label"),
     )

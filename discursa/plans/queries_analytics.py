@@ -15,6 +15,7 @@ from discursa.operators import (
     annotate, calibration, dedup, features, filters, findings, linear, metrics, ranking, release,
     sampling, scoring, split, terms,
 )
+from discursa.operators.annotate import offline_completion
 from discursa.plans import fixtures as fs
 from discursa.plans.queries_text import _logits, _logits_sql, _ts_text
 from discursa.plans.registry import query
@@ -771,7 +772,7 @@ def annotate_corpus(spark, sf):
 
 
 def _flaky_completion():
-    ask = annotate.offline_completion()
+    ask = offline_completion()
 
     def flaky(messages):
         text = messages[-1]["content"]

@@ -586,7 +586,7 @@ SELECT id, k.cluster, r - 1 AS dense_id FROM k JOIN (SELECT cluster, row_number(
 def dup_cluster(spark, sf):
     k = fs.enriched(spark, sf).select("id", "post", "row_no", "cluster")
     dense = dedup.dense_cluster_ids(k)
-    return k.join(dense, "cluster").select("id", "cluster", "dense_id")
+    return dedup.attach_per_key(k, dense, "cluster", "cluster_size", "id").select("id", "cluster", "dense_id")
 
 
 @query("cluster_size", f"WITH {fs.K} SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM k")

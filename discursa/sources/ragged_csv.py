@@ -28,6 +28,7 @@ _REOPENS = rf'^[^"]*+(?:""[^"]*+)*+"[^",][^,]*+,(?:{_CLOSED})*+{_QUOTED_TAIL}$'
 _REOPENS_AT_COMMA = rf'^[^"]*+(?:""[^"]*+)*+",(?:{_CLOSED})*+{_QUOTED_TAIL}$'
 
 POST_FROM_STEM = r"([^/]+?)(?:\.csv)?$"
+HEADER_FACTS = ["n_header", "threaded"]
 
 
 def _lines(spark: SparkSession, path) -> DataFrame:
@@ -54,7 +55,7 @@ def _state_before(const: Column, swaps: Column, entry: Column) -> Column:
 
 
 def _with_state(lines: DataFrame) -> DataFrame:
-    """Add rec_no (1-based record number in the file) and the file header to every line."""
+    """Add rec_no (1-based record number in the file) and header facts to every line."""
     within = W.partitionBy("file", "block").orderBy("pos")
     before = within.rowsBetween(W.unboundedPreceding, -1)
     local = (
@@ -106,6 +107,7 @@ def _with_state(lines: DataFrame) -> DataFrame:
             F.rtrim(F.first("first_line").over(order), F.lit("\r")).alias("header"),
         )
     )
+    blocks = with_header(blocks)
     joined = local.join(blocks, ["file", "block"])
     outside = ~_state_before(F.col("last_fixed"), F.col("n_swaps"), F.col("entry"))
     return (
@@ -118,7 +120,7 @@ def _with_state(lines: DataFrame) -> DataFrame:
             "rec_no",
             F.col("rec_offset") + F.sum(F.col("outside").cast("bigint")).over(within),
         )
-        .select("file", "block", "pos", "line", "outside", "open_after", "rec_no", "header")
+        .select("file", "block", "pos", "line", "outside", "open_after", "rec_no", *HEADER_FACTS)
     )
 
 
@@ -127,13 +129,13 @@ def read_records(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM)
     lines = _with_state(_lines(spark, path))
     whole = F.col("outside") & ~F.col("open_after")
     single = lines.where(whole).select(
-        "file", "rec_no", "header", F.rtrim("line", F.lit("\r")).alias("record")
+        "file", "rec_no", *HEADER_FACTS, F.rtrim("line", F.lit("\r")).alias("record")
     )
     multi = (
         lines.where(~whole)
         .groupBy("file", "rec_no")
         .agg(
-            F.first("header").alias("header"),
+            *[F.first(c).alias(c) for c in HEADER_FACTS],
             F.array_join(
                 F.transform(
                     F.array_sort(F.collect_list(F.struct("block", "pos", "line"))),
@@ -145,14 +147,12 @@ def read_records(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM)
         .withColumn("record", F.rtrim("record", F.lit("\r")))
     )
     records = single.unionByName(multi).where(F.col("rec_no") > 1)
-    return with_header(
-        records.select(
-            F.element_at(F.split("file", "/"), -1).alias("file"),
-            F.regexp_extract("file", post_pattern, 1).alias("post"),
-            F.col("rec_no").alias("record_no"),
-            fx.split_record(F.col("record")).alias("fields"),
-            "header",
-        )
+    return records.select(
+        F.element_at(F.split("file", "/"), -1).alias("file"),
+        F.regexp_extract("file", post_pattern, 1).alias("post"),
+        F.col("rec_no").alias("record_no"),
+        fx.split_record(F.col("record")).alias("fields"),
+        *HEADER_FACTS,
     )
 
 
@@ -188,6 +188,7 @@ def parse_records(records: DataFrame) -> DataFrame:
         return let(
             shape,
             lambda s: F.struct(
+                F.exists(f, lambda x: F.trim(x) != "").alias("filled"),
                 F.trim(at(0)).alias("username"),
                 F.when(s == 1, fx.comment_time(at(1), at(2)))
                 .when(
@@ -198,21 +199,19 @@ def parse_records(records: DataFrame) -> DataFrame:
                 )
                 .alias("ts"),
                 fx.whole_number(F.when(s == 1, at(3)).when(s == 2, at(2))).alias("likes"),
-                fx.is_reply(F.col("threaded"), F.element_at(f, 1)).alias("is_reply"),
+                fx.is_reply(F.col("threaded"), F.try_element_at(f, F.lit(1))).alias("is_reply"),
                 F.when(s == 1, at(4)).when(s == 2, at(3)).alias("text"),
             ),
         )
 
-    fields = F.col("fields")
-    rows = records.where(F.exists(fields, lambda x: F.trim(x) != "")).withColumn(
-        "_r", let(fields, typed)
-    )
-    r = F.col("_r")
-    return rows.select(
-        *records.columns,
-        F.concat_ws("#", "post", "record_no").alias("id"),
-        "_r.*",
-        (r["ts"].isNotNull() & r["likes"].isNotNull() & r["text"].isNotNull()).alias("ok"),
+    # a generator is a barrier for filters: every record is parsed once
+    rows = records.select(*records.columns, F.inline(F.transform(F.array("fields"), typed)))
+    whole = F.col("ts").isNotNull() & F.col("likes").isNotNull() & F.col("text").isNotNull()
+    return (
+        rows.where("filled")
+        .drop("filled")
+        .withColumn("id", F.concat_ws("#", "post", "record_no"))
+        .withColumn("ok", whole)
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from discursa.functions import text as tx
 from discursa.operators import ranking
+from discursa.session import stage
 
 MAX_HOT_KEYS = 1024
 HOT_MIN_ROWS = 100_000
@@ -36,7 +37,9 @@ def attach_per_key(
 
     The at most `max_hot` heaviest keys are broadcast; their rows get a spread key, so no
     task receives more than about hot_min rows, or 1/max_hot of all rows, for one key.
+    The per-key table is staged: it is read twice and often costs a pass over all texts.
     """
+    per_key = stage(per_key, "per-key")
     values = [c for c in per_key.columns if c != key]
     payload = F.struct(*values)
     hot = (

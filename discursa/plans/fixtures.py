@@ -51,7 +51,7 @@ COMMENT_EXPRS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=name in ("documents", "events"))
 
 
 def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:

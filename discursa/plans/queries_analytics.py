@@ -727,7 +727,7 @@ def char_tfidf(spark, sf):
 def linear_baseline(spark, sf):
     """Language classifier trained on half of the documents; evaluation of both halves."""
     docs = fs.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
-    model = linear.fit(docs.where("id % 2 = 0"), "lang", ["en", "fr", "de", "es"], text="text", max_iter=25)
+    model = linear.fit(docs.where("id % 2 = 0"), "lang", ["en", "fr", "de", "es"], text="text", max_iter=15)
     preds = model.predict(docs, text="text").join(docs.select("id", "lang"), "id")
     rows = preds.select(
         F.lit("linear").alias("model"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("task"),

@@ -118,12 +118,21 @@ def _with_state(lines: DataFrame) -> DataFrame:
         )
         .withColumn(
             "rec_no",
-            F.col("rec_offset") + F.sum(F.col("outside").cast("bigint")).over(within),
+            F.col("rec_offset")
+            + F.sum(F.col("outside").cast("bigint")).over(
+                within.rowsBetween(W.unboundedPreceding, 0)
+            ),
         )
         .select("file", "block", "pos", "line", "outside", "open_after", "rec_no", *HEADER_FACTS)
     )
 
 
+def _plain_path(path: Column) -> Column:
+    """File path without the percent escapes of file metadata."""
+    kept_plus = F.replace(path, F.lit("+"), F.lit("%2B"))
+    return F.when(path.contains("%"), F.url_decode(kept_plus)).otherwise(path)
+
+
 def read_records(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM) -> DataFrame:
     """Records of a file, folder or glob: file, post, record_no, fields, n_header, threaded."""
     lines = _with_state(_lines(spark, path))
@@ -147,9 +156,10 @@ def read_records(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM)
         .withColumn("record", F.rtrim("record", F.lit("\r")))
     )
     records = single.unionByName(multi).where(F.col("rec_no") > 1)
+    path = _plain_path(F.col("file"))
     return records.select(
-        F.element_at(F.split("file", "/"), -1).alias("file"),
-        F.regexp_extract("file", post_pattern, 1).alias("post"),
+        F.element_at(F.split(path, "/"), -1).alias("file"),
+        F.regexp_extract(path, post_pattern, 1).alias("post"),
         F.col("rec_no").alias("record_no"),
         fx.split_record(F.col("record")).alias("fields"),
         *HEADER_FACTS,

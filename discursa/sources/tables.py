@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_BYTES_PER_CORE = 32 << 20
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, spread: bool = True) -> DataFrame:
     """Parquet scan. A small table (one that may sit in fewer row groups than there are
     cores) is dealt out to all cores; anything larger is read as it is split on disk."""
     df = spark.read.parquet(path)
+    if not spread:
+        return df
     cores = spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if 0 < size < cores * SMALL_BYTES_PER_CORE else df

@@ -47,6 +47,12 @@ def test_cases(spark, folder):
         rc.quality_gate(bad)
 
 
+def test_file_names_with_odd_characters(spark, tmp_path):
+    (tmp_path / "D +e%.csv").write_text(B, encoding="utf-8")
+    good, _ = rc.read_comments(spark, str(tmp_path))
+    assert {r.post for r in good.collect()} == {"D +e%"}
+
+
 def test_crlf(spark, tmp_path):
     (tmp_path / "C.csv").write_bytes(A.replace("\n", "\r\n").encode())
     good, bad = rc.read_comments(spark, str(tmp_path))

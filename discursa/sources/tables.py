@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_BYTES_PER_CORE = 32 << 20
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """Size the optimiser expects a frame to have (file sizes, scaled by the columns read)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def read_table(spark: SparkSession, path: str, spread: bool = True) -> DataFrame:
     """Parquet scan. A small table (one that may sit in fewer row groups than there are
     cores) is dealt out to all cores; anything larger is read as it is split on disk."""
@@ -14,5 +19,4 @@ def read_table(spark: SparkSession, path: str, spread: bool = True) -> DataFrame
     if not spread:
         return df
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if 0 < size < cores * SMALL_BYTES_PER_CORE else df
+    return df.repartition(cores) if 0 < size_in_bytes(df) < cores * SMALL_BYTES_PER_CORE else df

@@ -1,9 +1,10 @@
 """Near-duplicates: minima of many universal hashes, banding, verification, components.
 
-Every candidate pair that shares a band is decided on the full shingle sets, without all pairs of a
-bucket: documents of equal sets are one class from the start, and in each round a bucket compares
-its members with one pivot, drops the pivot and goes on while it holds documents of different
-components. A bucket of n similar documents costs n comparisons.
+Every pair that shares a band is decided on the full shingle sets, without forming the pairs of a
+bucket. Documents of equal sets are one class from the start. Each bucket then compares its members
+with one pivot, the member that shares most buckets with others, and components are found. Where a
+bucket still holds several components, the members outside its largest one are compared with the
+others in blocks of bounded size inside tasks; only links leave them.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from discursa.llm.textbatch import grams, mix, spans, text_slices
 
 ROWS, BANDS = 6, 40
 #: Signature agreement under which a pair is not looked at: at similarity 0.8 the mean is 0.8 and
-#: the standard deviation of 240 minima 0.026, so this is eight of them away.
-SURE = 0.59
+#: the standard deviation of 240 minima 0.026, so this is over five of them away.
+SURE = 0.66
+#: Most documents on either side of a block.
+BLOCK_ROWS = 512
 
 
 def shingle_sets(raw, off, words: int) -> Iterator[np.ndarray]:
@@ -38,90 +41,119 @@ def shingle_sets(raw, off, words: int) -> Iterator[np.ndarray]:
         yield short[i] if i in short else np.unique(g[goff[i] : goff[i + 1]])
 
 
-def signatures(words: int, rows: int, bands: int, seed: int = 7) -> Callable:
-    """mapInArrow function: (id, text) to set size, set digest, band keys and minima."""
+def _minima(sets: list[np.ndarray], rows: int, bands: int, seed: int = 7):
+    """(minima of each set, band keys of each set) under rows * bands universal hashes."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(1 << 31, size=rows * bands, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(1 << 32, size=rows * bands, dtype=np.uint32)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    minima = np.zeros((len(sets), rows * bands), np.uint32)
+    if full:
+        low = (np.concatenate([sets[i] for i in full]) >> np.uint64(32)).astype(np.uint32)
+        starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])])[:-1].astype(np.int64)
+        for j in range(rows * bands):
+            minima[full, j] = np.minimum.reduceat(low * a[j] + b[j], starts)
+    keys = np.zeros((len(sets), bands), np.uint64)
+    for j in range(rows):
+        keys = mix(keys * np.uint64(31) + minima[:, j::rows])
+    return minima, mix(keys + np.arange(bands, dtype=np.uint64)[None, :])
+
+
+def signatures(words: int, rows: int, bands: int) -> Callable:
+    """mapInArrow function: (id, text) to set size, 128-bit set digest and band keys."""
 
     def run(batches):
-        rng = np.random.default_rng(seed)
-        a = rng.integers(1 << 31, size=rows * bands, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        b = rng.integers(1 << 32, size=rows * bands, dtype=np.uint32)
         for batch in batches:
             for at, to, raw, off in text_slices(batch.column(1)):
                 sets = list(shingle_sets(raw, off, words))
-                n = np.array([len(s) for s in sets])
-                full = np.flatnonzero(n)
-                every = np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, np.uint64)
-                starts = np.concatenate([[0], np.cumsum(n[full])])[:-1].astype(np.int64)
-                minima = np.zeros((len(sets), rows * bands), np.uint32)
-                digest = np.zeros((2, len(sets)), np.uint64)
-                if len(full):
-                    low = (every >> np.uint64(32)).astype(np.uint32)
-                    for j in range(rows * bands):
-                        minima[full, j] = np.minimum.reduceat(low * a[j] + b[j], starts)
-                    digest[0, full] = np.add.reduceat(mix(every), starts)
-                    digest[1, full] = np.add.reduceat(mix(every ^ np.uint64(0x9E3779B97F4A7C15)), starts)
-                keys = np.zeros((len(sets), bands), np.uint64)
-                for j in range(rows):
-                    keys = mix(keys * np.uint64(31) + minima[:, j::rows])
-                keys = mix(keys + np.arange(bands, dtype=np.uint64)[None, :])
-                keys = keys.astype(np.int64)
+                n = np.array([len(s) for s in sets], np.int64)
+                d0 = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                d1 = [int(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                _, keys = _minima(sets, rows, bands)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, to - at),
-                        pa.array(n.astype(np.int64)),
-                        pa.array(digest[0].astype(np.int64)),
-                        pa.array(digest[1].astype(np.int64)),
-                        pa.array(list(keys), pa.list_(pa.int64())),
-                        pa.array([m.tobytes() for m in minima], pa.binary()),
+                        batch.column(0).slice(at, to - at), pa.array(n), pa.array(d0, pa.int64()),
+                        pa.array(d1, pa.int64()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    names=["id", "n", "d0", "d1", "keys", "minima"],
+                    names=["id", "n", "d0", "d1", "keys"],
                 )
 
     return run
 
 
-def _sets(words: int) -> Callable:
+def _contents(words: int, rows: int, bands: int) -> Callable:
+    """mapInArrow function: (id, text) to a byte of each minimum, 32 bits of each band key, the set."""
+
     def run(batches):
         for batch in batches:
             for at, to, raw, off in text_slices(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(raw, off, words)]
+                sets = list(shingle_sets(raw, off, words))
+                minima, keys = _minima(sets, rows, bands)
+                small = ((minima * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+                keys = (keys >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(sets, pa.binary())], names=["id", "members"]
+                    [
+                        batch.column(0).slice(at, to - at), pa.array([x.tobytes() for x in small], pa.binary()),
+                        pa.array([x.tobytes() for x in keys], pa.binary()),
+                        pa.array([x.tobytes() for x in sets], pa.binary()),
+                    ],
+                    names=["id", "sig", "keys", "members"],
                 )
 
     return run
 
 
-def _agree(sure: float) -> Callable:
-    def run(batches):
-        for batch in batches:
-            x = [np.frombuffer(v, np.uint32) for v in batch.column("x").to_pylist()]
-            y = [np.frombuffer(v, np.uint32) for v in batch.column("y").to_pylist()]
-            keep = np.array([float(np.mean(p == q)) >= sure for p, q in zip(x, y)], bool)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """den * |both| >= num * |either| for sorted sets."""
+    if num * max(len(x), len(y)) > den * min(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
 
-    return run
 
+def _verify(num: int, den: int, sure: float) -> Callable:
+    """mapInArrow function on pairs with both contents: signatures first, then the full sets."""
 
-def _overlap(num: int, den: int) -> Callable:
     def run(batches):
         for batch in batches:
+            sx, sy, x, y = (batch.column(c).to_pylist() for c in ("sx", "sy", "x", "y"))
             keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if num * max(len(x), len(y)) <= den * min(len(x), len(y)):
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    keep[i] = den * both >= num * (len(x) + len(y) - both)
+            for i in range(len(batch)):
+                if np.mean(np.frombuffer(sx[i], np.uint8) == np.frombuffer(sy[i], np.uint8)) >= sure:
+                    keep[i] = _linked(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), num, den)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """pairs (a, b) with the value of a as x and that of b as y."""
-    one = values.select(F.col("id").alias("a"), F.col(value).alias("x"))
-    two = values.select(F.col("id").alias("b"), F.col(value).alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
+def _block(num: int, den: int, sure: float) -> Callable:
+    """applyInArrow function on one block of a bucket: rows with side 1 against rows with side 0.
+
+    A pair that shares several bands is decided in the first of them only."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32).reshape(len(ids), -1)
+        here = np.uint32((int(table.column("bucket")[0].as_py()) & (1 << 64) - 1) >> 32)
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("members").to_pylist()]
+        rest = table.column("rest").to_numpy(zero_copy_only=False)
+        mine, others = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        out = []
+        for i in mine:
+            # Two documents outside the largest component meet twice; the lower id leaves it to the other.
+            js = others[(c[others] != c[i]) & ~(rest[others] & (ids[others] > ids[i]))]
+            js = js[(sig[js] == sig[i]).mean(axis=1) >= sure]
+            if len(js):
+                same = keys[js] == keys[i]
+                js = js[keys[i][same.argmax(axis=1)] == here]
+            out += [(ids[i], ids[j]) for j in js if _linked(sets[i], sets[j], num, den)]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def near_duplicates(
@@ -141,9 +173,7 @@ def near_duplicates(
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = staged(
-        src.mapInArrow(
-            signatures(words, rows, bands), "id long, n long, d0 long, d1 long, keys array<long>, minima binary"
-        ),
+        src.mapInArrow(signatures(words, rows, bands), "id long, n long, d0 long, d1 long, keys array<long>"),
         "signatures",
     )
     known = sig.where("n > 0 and id is not null")
@@ -156,54 +186,79 @@ def near_duplicates(
         .select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")),
         "classes",
     )
-    reps = member.where("n > 0 and id = rep").select("id").distinct()
-    mark = staged(known.join(reps, "id").dropDuplicates(["id", "d0", "d1"]), "class-marks")
-    bucket = mark.select("id", F.explode("keys").alias("bucket"))
-    full = staged(bucket.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-                  .where("least < most").select("bucket"), "buckets")
-    members = staged(bucket.join(full, "bucket"), "bucket-members")
-    needed = staged(members.select("id").distinct(), "needed")
-    sets = staged(src.join(needed, "id", "left_semi").mapInArrow(_sets(words), "id long, members binary"), "sets")
-
-    comp = docs.sparkSession.createDataFrame([], "id long, component long")
-    while True:
-        lab = members.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        # One row per component in a bucket; the pivot comes from the smallest component.
-        by_c = lab.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.min("id").alias("p"))
-        pivots = staged(
-            by_c.groupBy("bucket")
-            .agg(F.min(F.struct("k", F.xxhash64("p"), "p", "c")).alias("s"), F.count("*").alias("nc"))
-            .where("nc > 1").select("bucket", F.col("s.p").alias("p"), F.col("s.c").alias("pc")),
-            "pivots",
-        )
-        if pivots.isEmpty():
-            break
-        lab = staged(lab.join(pivots, "bucket"), "labelled")
-        pairs = lab.where("id != p and c != pc").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
-        likely = _beside(pairs, mark, "minima").mapInArrow(_agree(sure), "a long, b long")
-        links = staged(
-            _beside(likely.distinct(), sets, "members").mapInArrow(_overlap(num, den), "a long, b long"), "verified"
-        )
-        comp = staged(_merged(comp, links), "components")
-        members = staged(lab.where("id != p").select("bucket", "id"), "bucket-members")
+    copied = member.where("n > 0 and id != rep").select("id").distinct()
+    bucket = staged(
+        known.select("id", "keys").join(copied, "id", "left_anti").select("id", F.explode("keys").alias("bucket")),
+        "bands",
+    )
+    full = bucket.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("k"))
+    members = staged(bucket.join(staged(full.where("least < most").select("bucket", "k"), "buckets"), "bucket"), "members")
+    weight = staged(members.groupBy("id").agg(F.sum("k").alias("weight")), "weights")
+    content = staged(
+        src.join(weight, "id", "left_semi")
+        .mapInArrow(_contents(words, rows, bands), "id long, sig binary, keys binary, members binary"),
+        "contents",
+    )
 
-    done = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+    heavy = F.max(F.struct("weight", (-F.col("id")).alias("order")))
+    pivots = staged(
+        members.join(weight, "id").groupBy("bucket").agg((-heavy["order"]).alias("p")), "pivots"
+    )
+    at_pivot = staged(members.select("bucket", "id").join(pivots, "bucket"), "at-pivot")
+    pairs = at_pivot.where("id != p").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
+    one = content.select(F.col("id").alias("a"), F.col("sig").alias("sx"), F.col("members").alias("x"))
+    two = content.select(F.col("id").alias("b"), F.col("sig").alias("sy"), F.col("members").alias("y"))
+    links = pairs.join(one, "a").join(two, "b").mapInArrow(_verify(num, den, sure), "a long, b long")
+    comp = staged(components(staged(links, "verified")), "components")
+
+    rest = _rest(at_pivot.where("id != p").select("bucket", "id"), comp)
+    more = (
+        rest.join(content, "id").groupBy("bucket", "mine", "other")
+        .applyInArrow(_block(num, den, sure), "a long, b long")
+    )
+    comp = staged(_merged(comp, staged(more, "verified")), "components")
+    done = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
     return done.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
+def _rest(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (bucket, mine, other, side, id, c, rest) of the blocks to compare: in every bucket with
+    several components, what is outside its largest one (side 1) against all of it (side 0)."""
+    lab = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
+    lab = staged(lab.select("bucket", "id", F.coalesce("component", "id").alias("c")), "labelled")
+    by_c = lab.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    live = (
+        by_c.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"), F.count("*").alias("nc"))
+        .where("nc > 1")
+        .select(
+            "bucket", F.col("top.c").alias("most"), F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("others"),
+            F.ceil((F.col("all") - F.col("top.k")) / BLOCK_ROWS).cast("int").alias("mines"),
+        )
+    )
+    lab = staged(lab.join(staged(live, "live-buckets"), "bucket"), "live")
+    lab = lab.select("*", (F.col("c") != F.col("most")).alias("rest"))
+    block = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    mine = lab.where("rest").select(
+        "bucket", (block % F.col("mines")).alias("mine"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"),
+        F.lit(1).alias("side"), "id", "c", "rest",
+    )
+    other = lab.select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("mines") - 1)).alias("mine"), (block % F.col("others")).alias("other"),
+        F.lit(0).alias("side"), "id", "c", "rest",
+    )
+    long = lambda df: df.withColumns({"mine": F.col("mine").cast("long"), "other": F.col("other").cast("long")})
+    return long(mine).union(long(other))
+
+
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components after new links: only the graph between components found before is walked."""
-    def to_comp(df: DataFrame, col: str) -> DataFrame:
-        c = comp.select(F.col("id").alias(col), F.col("component").alias(f"{col}c"))
-        return df.join(c, col, "left").withColumn(f"{col}c", F.coalesce(f"{col}c", col))
-
-    ends = to_comp(to_comp(links, "a"), "b")
-    merged = staged(components(ends, "ac", "bc"), "merged")
-    nodes = comp.select("id").union(links.select("a")).union(links.select("b")).distinct()
-    now = nodes.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return (
-        now.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-        .select("id", F.coalesce("to", "component").alias("component"))
-    )
+    for end in ("a", "b"):
+        at = comp.select(F.col("node").alias(end), F.col("component").alias(f"{end}c"))
+        links = links.join(at, end, "left").withColumn(f"{end}c", F.coalesce(f"{end}c", end))
+    links = staged(links, "links")
+    merged = staged(components(links, "ac", "bc"), "merged").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    alone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti")
+    now = comp.union(alone.select("node", F.col("node").alias("component")))
+    return now.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from discursa.llm import minhash
+from discursa.llm import minhash, packing, pii, substrings
 from discursa.llm.registry import query
 from discursa.llm.tables import documents
 
@@ -12,3 +12,18 @@ from discursa.llm.tables import documents
 @query("op2_minhash_dedup")
 def op2(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op4_pii")
+def op4(spark, sf_dir):
+    return pii.find(documents(spark, sf_dir))
+
+
+@query("op6_substring_dedup")
+def op6(spark, sf_dir):
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
+@query("op8_packing")
+def op8(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), str(public_tokenizers.path("word_bpe_49k.json")))

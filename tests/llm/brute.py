@@ -36,3 +36,21 @@ def near_duplicates(rows, k=2, num=80, den=100):
                     x, y = sorted((find(i), find(j)))
                     root[y] = x
     return {i: (len(s), find(i), find(i) == i) for i, s in sets}
+
+
+def kept_words(rows, window):
+    """rows of (id, text) to [(id, words, removed, kept text)]."""
+    texts = [(i, WORD.findall(t or "")) for i, t in rows]
+    seen = {}
+    for _, w in texts:
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            seen[key] = seen.get(key, 0) + 1
+    out = []
+    for i, w in texts:
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if seen[tuple(w[k : k + window])] > 1:
+                gone[k : k + window] = [True] * window
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out

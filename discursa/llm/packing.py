@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,15 +25,17 @@ END_ID = 2
 LENGTH = 4096
 SEGMENTS = 512
 OPEN_BINS = 16
-CACHE_WORDS = 800_000
+CACHE_WORDS = 900_000
+MARKS = b".,;:!?|*#$%&"
 
 
 class WordTokenizer:
     """Ids of a text from the ids of its white-space separated words, each encoded once.
 
-    The tokenizer drops white space and never joins across it, so the ids are those of the whole
-    text. The cache only saves time: it is emptied when full, and stays with the worker process (on
-    the tokenizers module, as code shipped by value has no module of its own there).
+    The tokenizer drops white space and never joins across it, nor a letter or digit and the
+    punctuation after it, so the ids are those of the whole text. The cache only saves time: it
+    has two generations, of which the older goes when the younger is full, and stays with the worker
+    process (on the tokenizers module, as code shipped by value has no module of its own there).
     """
 
     def __init__(self, path: str):
@@ -41,27 +44,63 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         kept = tokenizers.__dict__.setdefault("_word_caches", {})
         if path not in kept:
-            kept[path] = (tokenizers.Tokenizer.from_file(path), {})
-        self.tok, self.cache = kept[path]
+            kept[path] = (tokenizers.Tokenizer.from_file(path), [{}, {}])
+        self.tok, self.caches = kept[path]
         self.special = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
 
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.caches[0]) > CACHE_WORDS:
+            self.caches[:] = [{}, self.caches[0]]
+        young, old = self.caches
+        split, new = [], set()
+        for w in words:
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+                continue
+            core = w.rstrip(MARKS)
+            if core != w and core and core.decode()[-1].isalnum():
+                split.append((w, core, w[len(core) :]))
+            else:
+                new.add(w)
+        for _, core, tail in split:
+            for x in (core, tail):
+                if x not in young:
+                    if x in old:
+                        young[x] = old[x]
+                    else:
+                        new.add(x)
+        new = list(new)
+        for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            young[w] = array("I", e.ids).tobytes()
+        for w, core, tail in split:
+            young[w] = young[core] + young[tail]
+
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """One array a text."""
-        cache = self.cache
+        get = self.caches[0].get
+        rows, missing = [], set()
         for text in texts:
             raw = (text or "").encode()
             if any(s in raw for s in self.special):  # a special token may end inside a word
-                yield np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+                rows.append((None, None))
                 continue
             words = raw.split()  # ASCII white space only
-            got = list(map(cache.get, words))
+            got = list(map(get, words))
             if None in got:
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                new = list({w for w in words if w not in cache})
-                for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                    cache[w] = np.array(e.ids, np.uint32).tobytes()
-                got = [cache[w] for w in words]
+                missing.update([w for w, g in zip(words, got) if g is None])
+                rows.append((words, got))
+            else:
+                rows.append((None, got))
+        if missing:
+            self._learn(missing)
+        young = self.caches[0]
+        for text, (words, got) in zip(texts, rows):
+            if got is None:
+                yield np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+                continue
+            if words is not None:
+                got = [young[w] if g is None else g for w, g in zip(words, got)]
             yield np.frombuffer(b"".join(got), np.uint32)
 
 

@@ -14,7 +14,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,8 +147,7 @@ def _split(window: int, keep_text: bool) -> Callable:
     def run(batches):
         for batch in batches:
             many, found = batch.column("copies").to_pylist(), batch.column("at").to_pylist()
-            texts = batch.column("text")
-            for a, b, raw, off in text_slices(texts):
+            for a, b, raw, off in text_slices(batch.column("text")):
                 _, s, e, woff = _words(raw, off)
                 data = raw.tobytes()
                 rows, go = [], np.zeros(b - a, bool)
@@ -161,7 +159,7 @@ def _split(window: int, keep_text: bool) -> Callable:
                     left = b"" if go[i] and not gone else b" ".join([data[s[k] : e[k]] for k in (woff[i] + j for j in kept)])
                     rows.append((n, n if gone else 0, None if go[i] and not gone else hashlib.sha256(left).hexdigest(), left.decode() if keep_text else None))
                 cols = list(zip(*rows))
-                text = pa.compute.if_else(pa.array(go), texts.slice(a, b - a), pa.scalar(None, texts.type))
+                text = pa.array([data[off[i] : off[i + 1]].decode() if go[i] else None for i in range(b - a)], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(a, b - a) for c in ("id", "key", "copies", "at")]
                     + [text, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())],

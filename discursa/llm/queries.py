@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from discursa.llm import minhash, packing, pii, substrings
+from discursa.llm import decontaminate, language, merkle, minhash, packing, pii, substrings, toxicity
 from discursa.llm.registry import query
-from discursa.llm.tables import documents
+from discursa.llm.tables import documents, remainder
 
 
 @query("op2_minhash_dedup")
@@ -27,3 +28,27 @@ def op6(spark, sf_dir):
 @query("op8_packing")
 def op8(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    model = language.train(documents(spark, sf_dir))
+    return language.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
+
+
+@query("op5_merkle_fingerprints")
+def op5(spark, sf_dir):
+    return merkle.compare_with_edits(documents(spark, sf_dir))
+
+
+@query("op9_decontamination")
+def op9(spark, sf_dir):
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs.where(~held), labels.where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")

@@ -14,7 +14,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +28,24 @@ RADIUS = 22
 PASS_ITEMS = 20_000
 
 
-def _letters(texts: pa.Array):
+def _lower(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 in lower case. Where all letters are ASCII or Latin-1, and so keep their length, only the
+    Latin-1 ones are changed here: hashing folds ASCII."""
+    if len(raw) and raw.max() >= 0xC4:
+        low = [raw[a:b].tobytes().decode().lower().encode() for a, b in zip(off[:-1], off[1:])]
+        return np.frombuffer(b"".join(low), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in low])])
+    at = np.flatnonzero(raw == 0xC3) + 1
+    at = at[(raw[at] <= 0x9E) & (raw[at] != 0x97)]
+    if len(at):
+        raw = raw.copy()
+        raw[at] += 0x20
+    return raw, off
+
+
+def _letters(texts):
     """Slices of lower-cased texts as word hashes; words are runs of letters and digits."""
-    for a, b, raw, off in text_slices(pa.compute.utf8_lower(texts.cast(pa.large_string()).fill_null(""))):
-        h, _, _, woff = spans(raw, off, letters=True)
+    for a, b, raw, off in text_slices(texts):
+        h, _, _, woff = spans(*_lower(raw, off), letters=True)
         yield a, b, h, woff
 
 
@@ -64,6 +77,10 @@ class Index:
         for j, item in enumerate(self.items):
             self.by_size.setdefault((item[1], item[2]), []).append(j)
         self.known = {s: np.unique(np.concatenate([i[3] for i in self.items if i[2] == s])) for s in {i[2] for i in self.items}}
+        self.sieve = {}
+        for s, known in self.known.items():
+            self.sieve[s] = np.zeros(1 << 20, bool)
+            self.sieve[s][(known >> np.uint64(44)).astype(np.int64)] = True
         self.tables = {}
         for key, js in self.by_size.items():
             prints = np.array([self.items[j][5] for j in js], np.uint64)
@@ -71,6 +88,12 @@ class Index:
             order = [np.argsort(x, kind="stable") for x in blocks]
             self.tables[key] = (np.array(js), prints, [(x[o], o) for x, o in zip(blocks, order)])
 
+    def hits(self, g: np.ndarray, size: int) -> np.ndarray:
+        """Positions of shingles that some item has."""
+        known = self.known[size]
+        at = np.flatnonzero(self.sieve[size][(g >> np.uint64(44)).astype(np.int64)])
+        return at[known[np.minimum(np.searchsorted(known, g[at]), len(known) - 1)] == g[at]]
+
     def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
         lo, hi = int(self.edges[b]), int(self.edges[b + 1])
         return (prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
@@ -103,10 +126,9 @@ def _similarity(g: np.ndarray, values: np.ndarray, counts: np.ndarray) -> float:
 def _matches(index: Index, h: np.ndarray, least: float):
     """(item, start word, windows's similarity) of every window of one document that reaches least."""
     shingles = {}
-    for size, known in index.known.items():
+    for size in index.known:
         g = grams(h, np.array([0, len(h)]), size)[0]
-        at = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g) if len(g) else np.zeros(0, np.int64)
-        shingles[size] = (g, at)
+        shingles[size] = (g, index.hits(g, size))
     for (n, size), _ in index.by_size.items():
         g, hits = shingles[size]
         if len(h) < n or not len(hits):
@@ -136,9 +158,9 @@ def _search(index: Index, least: float) -> Callable:
             rows = []
             doc_ids = batch.column(0)
             for a, b, h, woff in _letters(batch.column(1)):
-                for size, known in index.known.items():  # most slices and texts end here
+                for size in index.known:  # most texts end here
                     g, goff = grams(h, woff, size)
-                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g) if len(g) else []
+                    at = index.hits(g, size)
                     texts = np.unique(np.searchsorted(goff, at, "right") - 1) if len(at) else []
                     for i in texts:
                         best = {}

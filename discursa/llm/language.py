@@ -190,9 +190,11 @@ def identify_pages(pages: DataFrame, model) -> DataFrame:
 
 def identify_documents(docs: DataFrame, model, key: list[str]) -> DataFrame:
     """As identify_pages for documents (text, lang, source): the declared language is lang, the host is
-    the source; a source without a dot has no suffix."""
+    the source; a source without a dot has the suffix "-". A text without letters is "und", whatever
+    is declared."""
     src = docs.select(*key, "text", primary(F.col("lang")).alias("declared"), F.col("source").alias("host"))
     ev = text_evidence(src, model, [*key, "declared", "host"], "text")
+    ev = ev.withColumns({c: F.when(F.col("n_grams") > 0, F.col(c)) for c in ("declared", "host")})
     ev = ev.withColumn("suffix", F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)).otherwise("-"))
     ev = ev.withColumn("domain", F.when(F.col("host").contains("."), F.substring_index("host", ".", -2)).otherwise(F.col("host")))
     return fuse(ev, model[0], key)

@@ -261,8 +261,9 @@ def train(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_TEXTS) ->
     """Field fitted on at most `most` texts that hold matches. No texts: weights that add nothing."""
     text = F.col(text_col)
     likely = docs.where(text.rlike("[0-9]{8}|[0-9]-[0-9]{4}|@|[0-9]\\.[0-9]{1,3}\\.[0-9]") & (F.length(text) < 20_000))
-    rows = likely.select(F.md5(text).alias("h"), text.alias("t")).orderBy("h", "t").limit(most).collect()
-    got = examples([r.t for r in rows])
+    likely = likely.select(F.md5(text).alias("h"), text.alias("t"))
+    first = likely.select("h").distinct().orderBy("h").limit(most)
+    got = examples([r.t for r in likely.join(F.broadcast(first), "h").groupBy("h").agg(F.first("t").alias("t")).collect()])
     dims = len(features("1234567", list(TOKEN.finditer("1234567")), 0, 1))
     return fit(got, dims) if got else np.zeros((dims, len(KINDS)))
 

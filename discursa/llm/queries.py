@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from discursa.llm import decontaminate, language, merkle, minhash, packing, pii, substrings, toxicity
+from discursa.llm import decontaminate, language, merkle, minhash, mixing, packing, pii, substrings, toxicity, warc
 from discursa.llm.registry import query
 from discursa.llm.tables import documents, remainder
 
@@ -52,3 +52,26 @@ def op10(spark, sf_dir):
     held = remainder(F.col("doc_id"), 4) == 2
     model = toxicity.train(docs.where(~held), labels.where(~held))
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM r
+"""
+
+
+@query("op7_warc", OP7_SQL)
+def op7(spark, sf_dir):
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op1_context_mixing")
+def op1(spark, sf_dir):
+    return mixing.score(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2)

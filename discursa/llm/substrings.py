@@ -105,8 +105,8 @@ def _probes(window: int, block: int, ranges: int) -> Callable:
 PROBES = ["range", "index_keys", "index_n", "index", "other_keys", "other_n", "other"]
 
 
-def _hits() -> Callable:
-    """One hash range: windows equal to an indexed block elsewhere, as (key, packed hashes). 32 bits
+def _hits(routes: int) -> Callable:
+    """One hash range: windows equal to an indexed block elsewhere, packed by key. 32 bits
     of hash within a range may claim a hit that the whole windows then refute."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -123,13 +123,30 @@ def _hits() -> Callable:
         size = np.diff(np.append(start, len(tops)))
         hit = np.repeat((size > 1) & np.logical_or.reduceat(indexed, start), size)
         r = int(table.column("range")[0].as_py())
-        return _by_key(keys[hit], (np.uint64(r) << np.uint64(32)) | tops[hit].astype(np.uint64))
+        return _by_key(keys[hit], (np.uint64(r) << np.uint64(32)) | tops[hit].astype(np.uint64), routes)
 
     return run
 
 
-def _by_key(keys: np.ndarray, values: np.ndarray) -> pa.Table:
-    """(key, packed distinct values)."""
+def _by_key(keys: np.ndarray, values: np.ndarray, routes: int) -> pa.Table:
+    """Keys and values packed in one row for each of `routes` groups of keys."""
+    rows = _by_range(keys.astype(np.int64).view(np.uint64), routes)[1]
+    return pa.table(
+        {
+            "route": pa.array([r for r, _ in rows], pa.int32()),
+            "keys": pa.array([keys[i].astype(np.int64).tobytes() for _, i in rows], pa.binary()),
+            "values": pa.array([values[i].astype(np.uint64).tobytes() for _, i in rows], pa.binary()),
+        }
+    )
+
+
+PACKED = "route int, keys binary, values binary"
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One group of keys: (key, its distinct values packed)."""
+    keys = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()])
+    values = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("values").to_pylist()])
     order = np.lexsort((values, keys))
     keys, values = keys[order], values[order]
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (values[1:] != values[:-1])])[: len(keys)]
@@ -141,6 +158,10 @@ def _by_key(keys: np.ndarray, values: np.ndarray) -> pa.Table:
     )
 
 
+def _gathered(packed: DataFrame, name: str) -> DataFrame:
+    return staged(packed.groupBy("route").applyInArrow(_gather, "key long, at binary"), name)
+
+
 def _split(window: int, keep_text: bool) -> Callable:
     """Finishes the texts without hits and copies; the others go on with their text."""
 
@@ -217,8 +238,8 @@ def _windows(window: int, block: int, ranges: int) -> Callable:
     return run
 
 
-def _repeated() -> Callable:
-    """One hash range: window starts whose words also start elsewhere, as (key, packed positions)."""
+def _repeated(routes: int) -> Callable:
+    """One hash range: window starts whose words also start elsewhere, packed by key."""
 
     def run(table: pa.Table) -> pa.Table:
         got: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -234,13 +255,13 @@ def _repeated() -> Callable:
         group = np.empty(len(x), np.int64)
         group[order] = np.cumsum(new) - 1
         hit = np.bincount(group, weights=many)[group] > 1
-        return _by_key(keys[hit], at[hit])
+        return _by_key(keys[hit], at[hit], routes)
 
     return run
 
 
 def _cut(window: int, keep_text: bool) -> Callable:
-    """(id, text, list of packed starts) to what is left of each text."""
+    """(id, text, packed starts) to what is left of each text."""
 
     def run(batches):
         for batch in batches:
@@ -252,10 +273,9 @@ def _cut(window: int, keep_text: bool) -> Callable:
                 for i in range(b - a):
                     n = int(woff[i + 1] - woff[i])
                     mark = np.zeros(n + 1, np.int32)
-                    for p in found[a + i] or ():
-                        at = np.frombuffer(p, np.uint32).astype(np.int64)
-                        np.add.at(mark, at, 1)
-                        np.add.at(mark, at + window, -1)
+                    at = np.frombuffer(found[a + i] or b"", np.uint64).astype(np.int64)
+                    np.add.at(mark, at, 1)
+                    np.add.at(mark, at + window, -1)
                     gone = np.cumsum(mark)[:n] > 0
                     keep = np.flatnonzero(~gone) + woff[i]
                     left = b" ".join([data[p:q] for p, q in zip(s[keep].tolist(), e[keep].tolist())])
@@ -292,8 +312,7 @@ def remove_repeats(
     copied = staged(groups.where("copies > 1").select(F.explode("keys").alias("key"), "copies"), "copies")
 
     probes = src.select("key", "text").mapInArrow(_probes(window, block, ranges), "range int" + "".join(f", {c} binary" for c in PROBES[1:]))
-    hits = staged(probes.groupBy("range").applyInArrow(_hits(), "key long, at binary"), "hits")
-    per_text = hits.groupBy("key").agg(F.unhex(F.array_join(F.transform(F.collect_list("at"), F.hex), "")).alias("at"))
+    per_text = _gathered(probes.groupBy("range").applyInArrow(_hits(ranges), PACKED), "hits")
     per_text = staged(per_text.join(copied, "key", "full").select("key", "at", F.coalesce("copies", F.lit(1)).alias("copies")), "hits-of-texts")
     first = staged(
         src.join(per_text, "key", "left").select("id", "key", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "at")
@@ -302,8 +321,7 @@ def remove_repeats(
     )
     near = first.where("text is not null and at is not null").select("key", "copies", "at", "text")
     around = near.mapInArrow(_windows(window, block, ranges), "range int" + "".join(f", {c} binary" for c in WINDOWS[1:]))
-    starts = staged(around.groupBy("range").applyInArrow(_repeated(), "key long, at binary"), "starts")
-    starts = staged(starts.groupBy("key").agg(F.collect_list("at").alias("at")), "starts-of-texts")
+    starts = _gathered(around.groupBy("range").applyInArrow(_repeated(ranges), PACKED), "starts")
     open_ = first.where("kept_sha256 is null").select("id", "key", "text").join(starts, "key", "left")
     result = "id long, n_words long, n_removed long, kept_sha256 string, kept string"
     done = first.where("kept_sha256 is not null").select("id", "n_words", "n_removed", "kept_sha256", "kept")

@@ -54,3 +54,29 @@ def kept_words(rows, window):
                 gone[k : k + window] = [True] * window
         out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
     return out
+
+
+def leaks(docs, items, k=5, least=0.8):
+    """{(doc, item): best similarity} over all item-sized windows, on word shingle counts."""
+    from collections import Counter
+
+    def words(t):
+        return re.findall(r"[^\W_]+", (t or "").lower())
+
+    out = {}
+    for i, t in docs:
+        w = words(t)
+        for j, u in items:
+            v = words(u)
+            n, size = len(v), min(k, len(v))
+            if not n:
+                continue
+            want = Counter(tuple(v[x : x + size]) for x in range(n - size + 1))
+            for s in range(len(w) - n + 1):
+                have = Counter(tuple(w[s + x : s + x + size]) for x in range(n - size + 1))
+                both = sum((want & have).values())
+                if both:
+                    sim = both / (sum(want.values()) + sum(have.values()) - both)
+                    if sim >= least and sim > out.get((i, j), 0):
+                        out[i, j] = sim
+    return out

@@ -2,9 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from discursa.llm import decontaminate, language, minhash, packing, pii
 from discursa.llm.tables import documents, staged
 
-STAGES: list = []
+
+def identify_language(spark, docs, sf_dir):
+    """Drops documents of no identifiable language; the model is fitted on the stage's own input."""
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    found = language.identify_documents(keyed, language.train(docs), ["doc_id", "_text"])
+    und = found.where(F.col("language") == language.UND).select("doc_id", "_text").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("d._text") == F.col("u._text"))
+    return keyed.alias("d").join(und.alias("u"), same, "left_anti").select(*docs.columns)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """Keeps the smallest id of each group of near-duplicates (five words, 0.8), once; rows without id
+    stay."""
+    groups = minhash.near_duplicates(docs, words=5)
+    gone = staged(groups.where("not kept and doc_id is not null").select("doc_id").distinct(), "near-copies")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    if twice.isEmpty():
+        return left
+    twice = staged(twice, "repeated-ids")
+    once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+def decontaminate_benchmark(spark, docs, sf_dir):
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark, docs, sf_dir):
+    """Replaces personal data in the texts by its kind."""
+    return pii.mask(docs)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Packs the tokens of all texts."""
+    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate_benchmark),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 

@@ -11,10 +11,10 @@ from discursa.llm.tables import documents, staged
 
 def identify_language(spark, docs, sf_dir):
     """Drops documents of no identifiable language; the model is fitted on the stage's own input."""
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    found = language.identify_documents(keyed, language.train(docs), ["doc_id", "_text"])
-    und = found.where(F.col("language") == language.UND).select("doc_id", "_text").distinct()
-    same = F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("d._text") == F.col("u._text"))
+    keyed = docs.withColumn("_row", F.xxhash64("text"))
+    found = language.identify_documents(keyed, language.train(docs), ["doc_id", "_row"])
+    und = found.where(F.col("language") == language.UND).select("doc_id", "_row").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("d._row") == F.col("u._row"))
     return keyed.alias("d").join(und.alias("u"), same, "left_anti").select(*docs.columns)
 
 

@@ -77,6 +77,11 @@ class Index:
         for j, item in enumerate(self.items):
             self.by_size.setdefault((item[1], item[2]), []).append(j)
         self.known = {s: np.unique(np.concatenate([i[3] for i in self.items if i[2] == s])) for s in {i[2] for i in self.items}}
+        # For each known shingle the (words, shingle size) of the items that have it.
+        self.owners = {s: [set() for _ in known] for s, known in self.known.items()}
+        for _, n, size, values, *_rest in self.items:
+            for at in np.searchsorted(self.known[size], values):
+                self.owners[size][at].add((n, size))
         self.sieve = {}
         for s, known in self.known.items():
             self.sieve[s] = np.zeros(1 << 20, bool)
@@ -128,11 +133,13 @@ def _matches(index: Index, h: np.ndarray, least: float):
     shingles = {}
     for size in index.known:
         g = grams(h, np.array([0, len(h)]), size)[0]
-        shingles[size] = (g, index.hits(g, size))
-    for (n, size), _ in index.by_size.items():
-        g, hits = shingles[size]
-        if len(h) < n or not len(hits):
+        for hit in index.hits(g, size).tolist():
+            for key in index.owners[size][int(np.searchsorted(index.known[size], g[hit]))]:
+                shingles.setdefault(key, (g, []))[1].append(hit)
+    for (n, size), (g, hits) in sorted(shingles.items()):
+        if len(h) < n:
             continue
+        hits = np.array(hits)
         mark = np.zeros(len(h) + 2, np.int32)  # window starts with a known shingle inside
         np.add.at(mark, np.maximum(hits - (n - size), 0), 1)
         np.add.at(mark, hits + 1, -1)

@@ -10,12 +10,13 @@ and offset, joins neighbouring ranges, and fetches each joined range with one re
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from discursa.llm.tables import scratch, staged
+from discursa.llm.tables import parts, scratch, staged
 
 #: Bytes of an archive on average; ranges closer than GAP are fetched together, up to MOST bytes.
 ARCHIVE_BYTES, GAP, MOST = 32 << 20, 4 << 10, 8 << 20
@@ -23,6 +24,26 @@ LEAST_PAYLOAD = 1000
 END = "\r\n\r\n"
 
 
+def _squeeze(batches):
+    """Payloads compressed for the way to their archive."""
+    for batch in batches:
+        packed = [zlib.compress((x or "").encode(), 1) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["uid", "packed"])
+
+
+def _expand(batches):
+    """Whole records without their end, about MOST bytes a batch."""
+    for batch in batches:
+        archives, heads, bare, packed = (batch.column(c).to_pylist() for c in range(4))
+        out, size, a = [], 0, 0
+        for i, head in enumerate(heads):
+            out.append(head + ("" if bare[i] else zlib.decompress(packed[i]).decode()))
+            size += len(out[-1])
+            if size > MOST or i + 1 == len(heads):
+                yield pa.RecordBatch.from_arrays([pa.array(archives[a : i + 1], pa.int32()), pa.array(out, pa.string())], names=["archive", "value"])
+                out, size, a = [], 0, i + 1
+
+
 def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
@@ -31,17 +52,21 @@ def _one_line(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), "[\r\n]+", " ")
 
 
+def _identified(pages: DataFrame) -> DataFrame:
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    raw = pages.select("page_id", _one_line(F.col("url")).alias("url"), F.length(payload).cast("long").alias("n"), F.sha1(payload).alias("digest"), "html")
+    h = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", "digest"))
+    uid = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    return raw.withColumn("uid", uid)
+
+
 def records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """Narrow facts of each row: uid, page_id, url, n (payload bytes), digest, refers_to, refers_uid.
 
     Of rows with equal payloads of at least `least` bytes the one with the largest page_id (then uid)
     is the response, the others revisit it. uid is a UUID from page_id, url and payload digest.
     """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    raw = pages.select("page_id", _one_line(F.col("url")).alias("url"), F.length(payload).cast("long").alias("n"), F.sha1(payload).alias("digest"))
-    h = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", "digest"))
-    uid = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    facts = staged(raw.withColumn("uid", uid), "pages")
+    facts = staged(_identified(pages).drop("html"), "pages")
     many = facts.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max(F.struct("page_id", "uid")).alias("to"), F.count("*").alias("k"))
     many = staged(many.where("k > 1").select("digest", "n", "to"), "payload-groups")
     joined = facts.join(many, ["digest", "n"], "left")
@@ -82,8 +107,10 @@ def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> Da
     facts = staged(records(pages), "records")
     body = F.when(F.col("refers_uid").isNotNull(), F.lit(0)).otherwise(F.col("n"))
     total = facts.agg(F.coalesce(F.sum(body + 600), F.lit(0))).first()[0]
-    archives = max(1, -(-total // archive_bytes))
-    facts = facts.withColumns({"archive": F.pmod(F.xxhash64("uid"), F.lit(archives)).cast("int"), "record_type": F.when(F.col("refers_uid").isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))})
+    archives = max(parts(pages.sparkSession), -(-total // archive_bytes))
+    # The archive of a record is the partition that holds it when rows are partitioned by uid.
+    number = F.pmod(F.hash("uid"), F.lit(archives)).cast("int")
+    facts = facts.withColumns({"archive": number, "record_type": F.when(F.col("refers_uid").isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))})
     facts = facts.withColumn("length", F.octet_length(_head()) + 4 + body + len(END))
     w = Window.partitionBy("archive").orderBy("uid", "page_id")
     index = facts.select(
@@ -91,15 +118,13 @@ def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> Da
         (F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).cast("long").alias("offset"),
         F.col("length").cast("long").alias("length"), "page_id", "url", "digest", "record_type",
     )
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    own = F.sha1(payload.cast("binary"))
-    html = pages.select(F.col("page_id").alias("p"), _one_line(F.col("url")).alias("u"), payload.alias("html"), own.alias("d"))
-    full = facts.dropDuplicates(["uid"]).join(html, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("url") == F.col("u")) & (F.col("digest") == F.col("d")))
-    text = F.concat(_head(), F.lit(END), F.when(F.col("refers_uid").isNotNull(), F.lit("")).otherwise(F.col("html")))
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    html = _identified(pages).select("uid", "html").mapInArrow(_squeeze, "uid string, packed binary").repartition(archives, "uid")
+    heads = facts.dropDuplicates(["uid"]).select(
+        "uid", "archive", F.concat(_head(), F.lit(END)).alias("head"), F.col("refers_uid").isNotNull().alias("bare")
+    )
+    full = html.join(heads.repartition(archives, "uid").hint("merge"), "uid").sortWithinPartitions("archive", "uid")
     (
-        full.select("archive", "uid", "page_id", text.alias("value")).repartition(min(n, archives) if archives > 1 else 1, "archive")
-        .sortWithinPartitions("archive", "uid", "page_id").select("archive", "value")
+        full.select("archive", "head", "bare", "packed").mapInArrow(_expand, "archive int, value string")
         .write.partitionBy("archive").option("lineSep", END).option("compression", "none").text(path)
     )
     index = staged(index, "warc-index")

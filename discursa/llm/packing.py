@@ -25,7 +25,7 @@ END_ID = 2
 LENGTH = 4096
 SEGMENTS = 512
 OPEN_BINS = 16
-CACHE_WORDS = 900_000
+CACHE_WORDS = 350_000
 MARKS = b".,;:!?|*#$%&"
 
 

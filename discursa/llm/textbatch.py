@@ -124,7 +124,7 @@ def grams(h: np.ndarray, woff: np.ndarray, k: int, seed: int = 23) -> tuple[np.n
     return mix((total[at + k] - total[at]) * down[at]), goff
 
 
-def slices(off: np.ndarray, size: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, size: int = 2 * BLOCK) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts of about `size` bytes together, one text at least."""
     a = 0
     while a < len(off) - 1:
@@ -133,7 +133,7 @@ def slices(off: np.ndarray, size: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def text_slices(texts, size: int = 4 * BLOCK):
+def text_slices(texts, size: int = 2 * BLOCK):
     """(first, last, bytes, offsets) of runs of texts."""
     raw, off = text_buffer(texts)
     for a, b in slices(off, size):

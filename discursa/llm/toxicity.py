@@ -18,8 +18,9 @@ from discursa.llm.textbatch import spans, text_slices
 
 DIMS = 1 << 18
 POSITIVES, UNLABELLED = 4_000, 24_000
-#: A word needs this many confirmed texts, or its weight would only remember single texts.
-LEAST_TEXTS = 4
+#: A word needs this many confirmed texts, and so many standard deviations more of them than its share
+#: of the unlabelled ones lets expect; other weights would only remember single texts.
+LEAST_TEXTS, EXCESS = 3, 3.0
 THRESHOLD = 0.3
 
 
@@ -38,14 +39,16 @@ def _sample(batches):
             yield pa.RecordBatch.from_arrays([batch.column("positive").slice(a, b - a), pa.array(packed, pa.binary())], names=["positive", "words"])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 250, rate: float = 0.05, l2: float = 1e-4):
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, l2: float = 3e-4):
     """(weights, intercept) by Adam on the non-negative risk with logistic loss."""
     w, b = np.zeros(DIMS), float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return w, b
     rows = [*positive, *unlabelled]
     is_p = np.arange(len(rows)) < len(positive)
-    frequent = np.bincount(np.concatenate(positive), minlength=DIMS) >= LEAST_TEXTS
+    seen = np.bincount(np.concatenate(positive), minlength=DIMS)
+    usual = np.bincount(np.concatenate(unlabelled), minlength=DIMS) * len(positive) / len(unlabelled)
+    frequent = (seen >= LEAST_TEXTS) & (seen - usual >= EXCESS * np.sqrt(usual + 1))
     words, column = np.unique(np.concatenate([r[frequent[r]] for r in rows]), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [int(frequent[r].sum()) for r in rows])
     n_p, n_u = is_p.sum(), (~is_p).sum()

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from discursa.llm.tables import staged
 from discursa.llm.textbatch import grams, mix, spans, text_slices
 
 SHINGLE = 5
@@ -210,5 +211,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, le
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the rows in which an item is found. All columns stay."""
-    bad = find_leaks(docs, benchmark, **how).select("doc_id").distinct()
+    bad = staged(find_leaks(docs, benchmark, **how).select("doc_id").distinct(), "leaks")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

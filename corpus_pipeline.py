@@ -9,11 +9,18 @@ from discursa.llm import decontaminate, language, minhash, packing, pii
 from discursa.llm.tables import documents, staged
 
 
+def small_batches(spark):
+    """Rows that reach a Python worker at once: with whole texts of any length, fewer than Spark's
+    default, so that executors hold several stages' workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
 def identify_language(spark, docs, sf_dir):
     """Drops documents of no identifiable language; the model is fitted on the stage's own input."""
+    small_batches(spark)
     keyed = docs.withColumn("_row", F.xxhash64("text"))
     found = language.identify_documents(keyed, language.train(docs), ["doc_id", "_row"])
-    und = found.where(F.col("language") == language.UND).select("doc_id", "_row").distinct()
+    und = staged(found.where(F.col("language") == language.UND).select("doc_id", "_row").distinct(), "und")
     same = F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("d._row") == F.col("u._row"))
     return keyed.alias("d").join(und.alias("u"), same, "left_anti").select(*docs.columns)
 
@@ -21,6 +28,7 @@ def identify_language(spark, docs, sf_dir):
 def drop_near_duplicates(spark, docs, sf_dir):
     """Keeps the smallest id of each group of near-duplicates (five words, 0.8), once; rows without id
     stay."""
+    small_batches(spark)
     groups = minhash.near_duplicates(docs, words=5)
     gone = staged(groups.where("not kept and doc_id is not null").select("doc_id").distinct(), "near-copies")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -34,16 +42,19 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def decontaminate_benchmark(spark, docs, sf_dir):
     """Drops documents that hold a benchmark item."""
+    small_batches(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark, docs, sf_dir):
     """Replaces personal data in the texts by its kind."""
+    small_batches(spark)
     return pii.mask(docs)
 
 
 def pack_sequences(spark, docs, sf_dir):
     """Packs the tokens of all texts."""
+    small_batches(spark)
     return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -80,7 +80,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
         for r in near.mapInArrow(count, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toLocalIterator():
             table[r.k, r.g] += r.n
     table = np.log(table / table.sum(axis=1, keepdims=True))
-    table[-1] = -np.log(DIMS) + 1.0  # within e of uniform over what occurs at all
+    table[-1] = -np.log(DIMS)
     return [*langs, UND], table
 
 

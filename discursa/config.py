@@ -106,7 +106,6 @@ MENTION_PATTERN = r"@([A-Za-z0-9_][A-Za-z0-9_.]{0,29})"
 
 # ---- fixed values: thresholds -------------------------------------------------
 SHORT_TEXT, NORMAL_TEXT = 25, 200
-PROMPT_CHARS = 1500
 SOURCE_WEIGHTS = {"gold": 1.0, "silver": 0.4}
 SPLIT_FRACTIONS = {"test": 0.40, "val": 0.15}
 TEMPERATURE_RANGE = (0.5, 5.0)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from discursa import config
 from discursa.functions.binding import let
+from discursa.functions.text import strip
 
 
-def prompt(text: Column, system: str | None = None, examples=()) -> Column:
-    """Chat messages for one comment: system, optional example pairs, the comment."""
+def prompt(text: Column, system: str | None = None, examples=(), max_chars: int | None = None) -> Column:
+    """Chat messages for one comment: system, optional example pairs, the comment (its first max_chars
+    characters, if given)."""
 
     def message(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -21,7 +23,7 @@ def prompt(text: Column, system: str | None = None, examples=()) -> Column:
     for shown, answer in examples:
         messages.append(message("user", F.lit(shown)))
         messages.append(message("assistant", F.lit(json.dumps(answer, ensure_ascii=False))))
-    messages.append(message("user", F.substring(text, 1, config.PROMPT_CHARS)))
+    messages.append(message("user", text if max_chars is None else F.substring(text, 1, max_chars)))
     return F.array(*messages)
 
 
@@ -41,7 +43,7 @@ def match_label(value: Column, classes: list[str]) -> Column:
             let(near, lambda n: F.when(F.size(n) == 1, F.element_at(n, 1)))
         )
 
-    return let(F.lower(F.replace(F.trim(value), F.lit(" "), F.lit(""))), match)
+    return let(F.lower(F.replace(strip(value), F.lit(" "), F.lit(""))), match)
 
 
 def truthy(value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from discursa.functions.binding import let
+from discursa.functions.text import strip
 
 # One field after its leading comma: a quoted run with doubled quotes, or plain text.
 _FIELD = r',("[^"]*+(?:""[^"]*+)*+"?+[^,]*+|[^,]*+)'
@@ -52,12 +53,12 @@ def comment_time(date: Column, clock: Column) -> Column:
         d, m, y, h, mi, s = (F.regexp_extract(stamp, shape, i).cast("int") for i in range(1, 7))
         return F.when(stamp.rlike(shape), F.try_make_timestamp_ntz(y, m, d, h, mi, s))
 
-    return let(F.concat_ws(" ", F.trim(date), F.trim(clock)), build)
+    return let(F.concat_ws(" ", strip(date), strip(clock)), build)
 
 
 def whole_number(value: Column) -> Column:
     """Integer literal with optional sign and digit separators, else NULL."""
-    v = F.trim(value)
+    v = strip(value)
     return F.when(
         v.rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(v, F.lit("_"), F.lit("")).try_cast("bigint")
     )
@@ -65,7 +66,7 @@ def whole_number(value: Column) -> Column:
 
 def is_reply(threaded: Column, kind: Column) -> Column:
     """In a threaded export every row whose type is not PARENT is a reply."""
-    return threaded & (F.upper(F.trim(kind)) != "PARENT")
+    return threaded & (F.upper(strip(kind)) != "PARENT")
 
 
 def record_post(id_: Column) -> Column:

@@ -24,26 +24,15 @@ def event_phase(ts: Column, phases=None) -> Column:
     return F.lit(last) if out is None else F.when(day.isNotNull(), out.otherwise(last))
 
 
-_OPTIONAL = re.compile(r"\([^)]*\)[?*+]?|\[[^\]]*\][?*+]?|\\.[?*+]?|.[?*]|.\{\d*,?\d*\}")
-
-
-def required_literal(pattern: str) -> str:
-    """Longest plain run every match of a simple pattern contains ('' when there is none)."""
-    runs = re.findall(r"[^\0.^$+|]+", _OPTIONAL.sub("\0", pattern))
-    return max(runs, key=len, default="")
-
-
 def any_term(text: Column, terms: list[str]) -> Column:
-    """Does any term occur? Plain terms are substring searches; a regular expression only
-    runs on the texts that contain its required literal. `text` should be cheap (bound)."""
+    """Does any term occur? Terms are regular expressions; plain words among them are substring
+    searches, the others run as one expression. No terms never occur. `text` should be bound."""
     plain = [t for t in terms if re.fullmatch(r"[\w ]+", t)]
+    rules = [t for t in terms if t not in plain]
     hits = [text.contains(t) for t in plain]
-    for p in terms:
-        if p not in plain:
-            guard = required_literal(p)
-            match = text.rlike("(?U)" + p)
-            hits.append(text.contains(guard) & match if guard else match)
-    return reduce(Column.__or__, hits)
+    if rules:
+        hits.append(text.rlike("(?U)" + "|".join(f"(?:{r})" for r in rules)))
+    return reduce(Column.__or__, hits) if hits else F.lit(False)
 
 
 def spam_flag(text: Column, terms: list[str] | None = None) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from discursa import config
+from discursa.functions.text import strip
 
 
 def load_salt(path: str) -> bytes:
@@ -29,7 +30,7 @@ def load_salt(path: str) -> bytes:
 
 def pseudonym(name: Column, salt: bytes) -> Column:
     """First 12 hex digits of SHA-256(salt, trimmed lower-case name); placeholders pass through."""
-    key = F.lower(F.trim(name))
+    key = F.lower(strip(name))
     digest = F.sha2(F.concat(F.lit(salt), key.cast("binary")), 256)
     return F.when(key.isin(config.ACCOUNT_SENTINELS), name).otherwise(F.substring(digest, 1, 12))
 

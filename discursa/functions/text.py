@@ -18,6 +18,11 @@ from discursa import config
 from discursa.functions.binding import direct, let
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def _cls(ranges) -> str:
     return "".join(
         f"\\x{{{lo:X}}}" if lo == hi else f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges
@@ -141,5 +146,5 @@ def tokens(text: Column, stop_words=None) -> Column:
 def lines(text: Column) -> Column:
     """Non-blank lines of a multi-line input, trimmed."""
     return F.filter(
-        F.transform(F.split(text, r"\R"), lambda s: F.trim(s)), lambda s: F.length(s) > 0
+        F.transform(F.split(text, r"\R"), strip), lambda s: F.length(s) > 0
     )

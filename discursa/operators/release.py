@@ -11,6 +11,7 @@ from discursa.functions import fields as fx
 from discursa.functions import privacy as pv
 from discursa.operators import dedup
 from discursa.operators.split import with_post
+from discursa.functions.text import strip
 
 CLEAN_COLUMNS = [
     "id", "post", "author_hash", "ts", "likes", "phase", "text", "clean", "n_chars", "emoji_only",
@@ -46,7 +47,7 @@ def mask_records(records: DataFrame, salt: bytes) -> DataFrame:
     records: fields array<string>, threaded boolean (as read by sources.ragged_csv).
     """
     f, n = F.col("fields"), F.size("fields")
-    blank = ~F.exists(f, lambda x: F.trim(x) != "")
+    blank = ~F.exists(f, lambda x: strip(x) != "")
     user_at = F.when(F.col("threaded"), 2).otherwise(0)
     named = F.transform(
         f,

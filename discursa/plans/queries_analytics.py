@@ -763,7 +763,7 @@ def score_corpus(spark, sf):
 
 @query(
     "annotate_corpus",
-    f"""WITH {fs.K}, a AS (SELECT *, regexp_matches(lower(substr(clean, 1, 1500)), '{fs.SPAM_RX}') AS spam FROM k)
+    f"""WITH {fs.K}, a AS (SELECT *, regexp_matches(lower(clean), '{fs.SPAM_RX}') AS spam FROM k)
 SELECT id, CAST(spam AS INTEGER) AS spam, 'unclear' AS stance FROM a""",
 )
 def annotate_corpus(spark, sf):
@@ -785,7 +785,7 @@ def _flaky_completion():
 
 @query(
     "label_yield",
-    f"""WITH {fs.K}, y AS (SELECT post, least(length(clean), 1500) % 10 IN (0, 1) AS bad FROM k)
+    f"""WITH {fs.K}, y AS (SELECT post, length(clean) % 10 IN (0, 1) AS bad FROM k)
 SELECT post, count(*) FILTER (WHERE NOT bad) AS labelled, count(*) FILTER (WHERE bad) AS failed,
   round(CAST(count(*) FILTER (WHERE bad) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS failure_rate FROM y GROUP BY 1""",
 )

@@ -399,7 +399,7 @@ _EXAMPLES = [("an example", {"spam": False, "stance": "unclear", "emotion": "neu
 @query(
     "prompt_column",
     f"""WITH {fs.K} SELECT id, CAST(4 AS INTEGER) AS n_messages, 'system' AS first_role, 'user' AS last_role,
-  md5(substr(clean, 1, 1500)) AS content_md5 FROM k""",
+  md5(clean) AS content_md5 FROM k""",
 )
 def prompt_column(spark, sf):
     p = fs.enriched(spark, sf).select("id", an.prompt(F.col("clean"), examples=_EXAMPLES).alias("p"))

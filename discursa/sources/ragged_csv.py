@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from discursa.functions import fields as fx
 from discursa.functions.binding import let
+from discursa.functions.text import strip
 
 _QUOTED_TAIL = r'"[^"]*+(?:""[^"]*+)*+'
 _CLOSED = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+|),'
@@ -172,7 +173,7 @@ def with_header(records: DataFrame) -> DataFrame:
     return records.select(
         *[c for c in records.columns if c != "header"],
         F.size(head).alias("n_header"),
-        (F.lower(F.trim(F.element_at(head, 1))) == "type").alias("threaded"),
+        (F.lower(strip(F.element_at(head, 1))) == "type").alias("threaded"),
     )
 
 
@@ -189,7 +190,7 @@ def parse_records(records: DataFrame) -> DataFrame:
 
         split_ts = (
             (F.size(f) == F.col("n_header") + 1)
-            & F.trim(at(1)).rlike(fx.DATE_SHAPE)
+            & strip(at(1)).rlike(fx.DATE_SHAPE)
             & at(2).rlike(fx.CLOCK_SHAPE)
         )
         quoted_ts = (F.size(f) == F.col("n_header")) & at(1).contains(",")
@@ -198,8 +199,8 @@ def parse_records(records: DataFrame) -> DataFrame:
         return let(
             shape,
             lambda s: F.struct(
-                F.exists(f, lambda x: F.trim(x) != "").alias("filled"),
-                F.trim(at(0)).alias("username"),
+                F.exists(f, lambda x: strip(x) != "").alias("filled"),
+                strip(at(0)).alias("username"),
                 F.when(s == 1, fx.comment_time(at(1), at(2)))
                 .when(
                     s == 2,

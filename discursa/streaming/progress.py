@@ -28,7 +28,8 @@ def throughput(
 ) -> DataFrame:
     """Requests per (sliding) window; state is bounded by the watermark.
 
-    Works on streams and, with the same result, on batch frames.
+    On batch frames every row counts. On a stream rows that come later than `lateness` behind the
+    newest event are not counted: Spark drops them, as their windows are closed.
     """
     w = F.window(time, width, slide) if slide else F.window(time, width)
     return (

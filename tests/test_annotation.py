@@ -63,9 +63,10 @@ def test_annotate_with_failing_model(spark):
 
 def test_prompt_cuts_text_and_keeps_examples(spark):
     df = spark.createDataFrame([("x" * 2000,)], "t string")
-    messages = df.select(an.prompt(F.col("t"), "sys", [("shown", {"a": 1})])).collect()[0][0]
+    messages = df.select(an.prompt(F.col("t"), "sys", [("shown", {"a": 1})], max_chars=1500)).collect()[0][0]
     assert [m.role for m in messages] == ["system", "user", "assistant", "user"]
     assert messages[2].content == '{"a": 1}' and len(messages[3].content) == 1500
+    assert len(df.select(an.prompt(F.col("t"))).collect()[0][0][-1].content) == 2000
 
 
 def test_scoring_replaces_blank_text_and_applies_rules(spark):

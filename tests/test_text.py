@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 import pytest
@@ -88,13 +89,19 @@ def test_lexicons(spark):
     assert felt == ["neutral", "anger", "hope", "neutral"]
 
 
-def test_guards_are_required_literals():
-    pairs = [r"\bhakim\b", "hakim"], [r"naik.{0,6}(280|300)", "naik"], ["chrome ?os", "chrome"], \
-        [r"depo(?:sit)?\b", "depo"], [r"280\s*%", "280"], ["go-?jek", "jek"], [r"[ab]\d", ""]
-    for pattern, literal in pairs:
-        assert lx.required_literal(pattern) == literal
+def test_terms_with_alternations_and_groups(spark):
+    rows = ["grab aja", "naik gojek", "abde", "cde", "foo bar", "barbaz", "foobarbaz", "plain words", ""]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    for terms in (["grab|gojek"], ["((ab|c)de)"], [r"\bfoo\b|\bbarbaz\b"], ["plain", "x?cde"], []):
+        want = [any(re.search(p, r) for p in terms) for r in rows]
+        assert [r.hit for r in df.select(lx.any_term(F.col("t"), terms).alias("hit")).collect()] == want, terms
 
 
+def test_strip_all_white_space(spark):
+    df = spark.createDataFrame([("\t a\u00a0b\u00a0\n", "\u2003\x1c", None)], "t string, u string, v string")
+    row = df.select(*[tx.strip(F.col(c)).alias(c) for c in "tuv"]).first()
+    assert tuple(row) == ("a\u00a0b", "", None)
+
 def test_tokens(spark):
     got = values(spark, ["Kata kata yang ABC ab 0123456789ab deadbeefdead café"], tx.tokens)
     assert got == [["kata", "abc", "caf"]]

@@ -27,13 +27,15 @@ SEGMENTS = 512
 OPEN_BINS = 16
 CACHE_WORDS = 350_000
 MARKS = b".,;:!?|*#$%&"
+JOINED = 50  # new words encoded in one call
 
 
 class WordTokenizer:
     """Ids of a text from the ids of its white-space separated words, each encoded once.
 
     The tokenizer drops white space and never joins across it, nor a letter or digit and the
-    punctuation after it, so the ids are those of the whole text. The cache only saves time: it
+    punctuation after it, so the ids are those of the whole text. ASCII letters are folded first, as the
+    tokenizer folds them, unless a combining mark could join a capital. The cache only saves time: it
     has two generations, of which the older goes when the younger is full, and stays with the worker
     process (on the tokenizers module, as code shipped by value has no module of its own there).
     """
@@ -44,8 +46,11 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         kept = tokenizers.__dict__.setdefault("_word_caches", {})
         if path not in kept:
-            kept[path] = (tokenizers.Tokenizer.from_file(path), [{}, {}])
-        self.tok, self.caches = kept[path]
+            tok = tokenizers.Tokenizer.from_file(path)
+            ends = np.zeros(tok.get_vocab_size(), bool)
+            ends[[i for w, i in tok.get_vocab().items() if w.endswith("</w>")]] = True
+            kept[path] = (tok, [{}, {}], ends)
+        self.tok, self.caches, self.ends = kept[path]
         self.special = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
 
     def _learn(self, words: set[bytes]) -> None:
@@ -70,19 +75,38 @@ class WordTokenizer:
                         young[x] = old[x]
                     else:
                         new.add(x)
-        new = list(new)
-        for w, e in zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            young[w] = array("I", e.ids).tobytes()
+        self._encode(list(new), young)
         for w, core, tail in split:
             young[w] = young[core] + young[tail]
 
+    def _encode(self, words: list[bytes], into: dict) -> None:
+        """Ids of words; words of letters go together in one text and are told apart by their word ends."""
+        letters, rest = [], []
+        for w in words:
+            (letters if w.decode().isalpha() else rest).append(w)
+        groups = [letters[a : a + JOINED] for a in range(0, len(letters), JOINED)]
+        joined = [b" ".join(g).decode() for g in groups]
+        for g, e in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            to = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(to) != len(g):  # folding left a mark that is no letter: more pieces than words
+                rest += g
+                continue
+            raw = ids.tobytes()
+            into.update(zip(g, [raw[a:b] for a, b in zip([0, *to], to)]))
+        for w, e in zip(rest, self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            into[w] = array("I", e.ids).tobytes()
+
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """One array a text."""
         get = self.caches[0].get
         rows, missing = [], set()
         for text in texts:
             raw = (text or "").encode()
-            if any(s in raw for s in self.special):  # a special token may end inside a word
+            folded = raw.lower()  # ASCII letters only
+            if b"\xcc" not in raw:  # U+0300 to U+033F
+                raw = folded
+            if any(s in folded for s in self.special):  # a special token may end inside a word
                 rows.append((None, None))
                 continue
             words = raw.split()  # ASCII white space only

@@ -51,5 +51,6 @@ def test_limits_and_edges(spark):
 
 def test_words_give_the_ids_of_the_text():
     tok = WordTokenizer(PATH)
-    for text in ("á é", "I'm don't\tIT'S <|endoftext|> x", "a\x1cb c d", "12 345", "", "x́ y"):
+    for text in ("á é", "I'm don't\tIT'S <|endoftext|> x", "a\x1cb c d", "12 345", "", "x́ y", "H\u0331 h\u0331 İx ΑΣ Σ", "<|ENDOFTEXT|> A", "ǅ ª ﬁ ẞ e\u0301A",
+                 " ".join(f"İ{chr(97 + i % 26)}{chr(97 + i // 26)} Ab{chr(97 + i % 26)}É" for i in range(120))):
         assert list(next(tok.ids([text]))) == tok.tok.encode(text, add_special_tokens=False).ids

@@ -65,29 +65,40 @@ def raw_lines(records: DataFrame) -> DataFrame:
     return records.select("post", "record_no", fx.join_record(F.col("fields")).alias("value"))
 
 
-def write_lines(rows: DataFrame, header: str, path: str, per_file: int = 5_000_000) -> None:
-    """Lines (post, record_no, value) as text under path/post=.../slice=..., header first.
-
-    A large post is spread over several files by record number, so no task holds it whole.
+def write_lines(
+    rows: DataFrame, header: str | DataFrame, path: str, per_file: int = 5_000_000
+) -> None:
+    """Lines (post, record_no, value) as text under path/post=.../first_record=N/, header first.
+
+    A large post is spread over several files by record number, so no task holds it whole. The
+    folder names the number of the file's first record, so that reading the files with
+    sources.ragged_csv gives the records their numbers back; numbers in a post are consecutive
+    from 2. header: one line for all posts, or a frame (post, header).
     """
-    rows = rows.select("post", "record_no", "value").withColumn(
-        "slice", F.floor(F.col("record_no") / per_file).cast("bigint")
-    )
-    heads = rows.select("post", "slice").distinct().select(
-        "post", F.lit(-1).cast("bigint").alias("record_no"), F.lit(header).alias("value"), "slice"
+    first = F.greatest(F.floor(F.col("record_no") / per_file) * per_file, F.lit(2)).cast("bigint")
+    rows = rows.select("post", "record_no", "value", first.alias("first_record"))
+    slices = rows.select("post", "first_record").distinct()
+    if isinstance(header, DataFrame):
+        slices = slices.join(header.select("post", "header"), "post", "left")
+    else:
+        slices = slices.withColumn("header", F.lit(header))
+    heads = slices.select(
+        "post", F.lit(-1).cast("bigint").alias("record_no"), F.col("header").alias("value"), "first_record"
     )
     (
         rows.unionByName(heads)
-        .repartition("post", "slice")
-        .sortWithinPartitions("post", "slice", "record_no")
+        .repartition("post", "first_record")
+        .sortWithinPartitions("post", "first_record", "record_no")
         .drop("record_no")
-        .write.partitionBy("post", "slice")
+        .write.partitionBy("post", "first_record")
         .text(path)
     )
 
 
-def write_raw(masked: DataFrame, header: str, path: str, per_file: int = 5_000_000) -> None:
-    """Masked records in record order, in the shape they came in."""
+def write_raw(
+    masked: DataFrame, header: str | DataFrame, path: str, per_file: int = 5_000_000
+) -> None:
+    """Masked records in record order, in the shape and (read_headers) under the header they came in."""
     write_lines(raw_lines(masked), header, path, per_file)
 
 

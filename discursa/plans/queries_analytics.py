@@ -717,6 +717,19 @@ nm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM rw GROUP BY 1)"""
 def char_tfidf(spark, sf):
     """All weights are computed; the comparison sums them up per document."""
     docs = fs.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    w = features.char_tfidf(docs, "id", "text", max_features=linear.MAX_FEATURES)
+    return w.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_grams"), F.round(F.sum("weight"), 4).alias("mass"), F.round(F.max("weight"), 6).alias("top")
+    )
+
+
+@query(
+    "char_tfidf_full",
+    f"""WITH {_TFIDF.replace(' ORDER BY tf DESC, gram LIMIT 50000', '')} SELECT id, count(*) AS n_grams, round(sum(w / norm), 4) AS mass, round(max(w / norm), 6) AS top FROM rw JOIN nm USING (id) GROUP BY 1""",
+)
+def char_tfidf_full(spark, sf):
+    """All n-grams of at least two documents."""
+    docs = fs.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     w = features.char_tfidf(docs, "id", "text")
     return w.groupBy("id").agg(
         F.count(F.lit(1)).alias("n_grams"), F.round(F.sum("weight"), 4).alias("mass"), F.round(F.max("weight"), 6).alias("top")
@@ -727,7 +740,7 @@ def char_tfidf(spark, sf):
 def linear_baseline(spark, sf):
     """Language classifier trained on half of the documents; evaluation of both halves."""
     docs = fs.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
-    model = linear.fit(docs.where("id % 2 = 0"), "lang", ["en", "fr", "de", "es"], text="text", max_iter=15)
+    model = linear.fit(docs.where("id % 2 = 0"), "lang", ["en", "fr", "de", "es"], text="text")
     preds = model.predict(docs, text="text").join(docs.select("id", "lang"), "id")
     rows = preds.select(
         F.lit("linear").alias("model"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("task"),
@@ -808,20 +821,24 @@ _LOG = "'[log] ' || date_format(ts, 'yyyy/MM/dd - HH:mm:ss') || ' | 200 | POST \
 
 @query("stream_parse_log", "SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS t, count(*) AS n FROM events WHERE event_id % 7 > 1 GROUP BY 1")
 def stream_parse_log(spark, sf):
-    """Log lines written from the events; some are not requests, some stamps are unreadable."""
+    """Log lines written from the events; some are not requests, some stamps are unreadable.
+
+    Counted per micro-batch, so no state is held between batches.
+    """
     line = (
         f"CASE event_id % 7 WHEN 0 THEN '[log] GET ' || event_id WHEN 1 THEN '[log] 2024/99/99 - 10:00:00 POST x' ELSE {_LOG} END"
     )
     lines = _event_stream(spark, sf).select(F.expr(line).alias("value"))
     t = progress.parse_requests(lines).select(F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("t"))
-    return progress.run_available(t.groupBy("t").agg(F.count(F.lit(1)).alias("n")), ["t"], "parse-log")
+    return progress.run_counting(t, lambda b: b.groupBy("t").agg(F.count(F.lit(1)).alias("n")), ["t"], "parse-log")
 
 
 @query("stream_throughput", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY 1")
 def stream_throughput(spark, sf):
     events = _event_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("t"))
-    windows = progress.throughput(events, width="1 hour", lateness="1 hour").select("start", "n")
-    out = progress.run_available(windows, ["start"], "throughput")
+    out = progress.run_counting(
+        events, lambda b: progress.window_counts(b, width="1 hour"), ["start"], "throughput"
+    )
     return out.select(F.date_format(F.col("start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 

@@ -6,6 +6,9 @@ the quote state (two states: outside or inside a quoted field). Such summaries c
 so the state at every line follows from a running composition within each file split
 and one over the splits of a file. Files of any size are read by many tasks and no task
 sees more than one split; records keep exact numbers, blank ones included.
+
+A record that is still open at the end of its file (a stray quote) is not a record: each of its
+lines is read on its own, so that rows behind the quote are kept and the rest is quarantined.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ _REOPENS = rf'^[^"]*+(?:""[^"]*+)*+"[^",][^,]*+,(?:{_CLOSED})*+{_QUOTED_TAIL}$'
 _REOPENS_AT_COMMA = rf'^[^"]*+(?:""[^"]*+)*+",(?:{_CLOSED})*+{_QUOTED_TAIL}$'
 
 POST_FROM_STEM = r"([^/]+?)(?:\.csv)?$"
+SLICE = r"/post=([^/]*)/first_record=(\d+)/[^/]*$"
 HEADER_FACTS = ["n_header", "threaded"]
 
 
@@ -69,22 +73,27 @@ def _with_state(lines: DataFrame) -> DataFrame:
             ),
         )
         .withColumn("last_fixed", F.last("fixed", ignorenulls=True).over(before))
+        .withColumn("row", F.row_number().over(within))
     )
-    starts_if = {
-        e: F.sum(
-            (~_state_before(F.col("last_fixed"), F.col("n_swaps"), F.lit(e))).cast("bigint")
-        )
-        for e in (False, True)
+    outside_if = {
+        e: ~_state_before(F.col("last_fixed"), F.col("n_swaps"), F.lit(e)) for e in (False, True)
     }
+    starts_if = {e: F.sum(o.cast("bigint")) for e, o in outside_if.items()}
+    last_if = {e: F.max(F.when(o, F.col("row"))) for e, o in outside_if.items()}
     blocks = local.groupBy("file", "block").agg(
         F.sum("swap").alias("swaps"),
         F.max_by("fixed", F.when(F.col("fixed").isNotNull(), F.col("pos"))).alias("fixed"),
         starts_if[False].alias("starts_out"),
         starts_if[True].alias("starts_in"),
+        last_if[False].alias("last_out"),
+        last_if[True].alias("last_in"),
+        F.count(F.lit(1)).alias("n_lines"),
         F.min_by("line", "pos").alias("first_line"),
     )
     order = W.partitionBy("file").orderBy("block")
     prior = order.rowsBetween(W.unboundedPreceding, -1)
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     blocks = (
         blocks.withColumn("seen", F.coalesce(F.sum("swaps").over(prior), F.lit(0)))
         .withColumn(
@@ -100,11 +109,26 @@ def _with_state(lines: DataFrame) -> DataFrame:
         .withColumn("last_mark", F.last("mark", ignorenulls=True).over(prior))
         .withColumn("entry", _state_before(F.col("last_mark"), F.col("seen"), F.lit(False)))
         .withColumn("starts", F.when(F.col("entry"), F.col("starts_in")).otherwise(F.col("starts_out")))
+        .withColumn("line_offset", F.coalesce(F.sum("n_lines").over(prior), F.lit(0)))
+        .withColumn(
+            "last_start",
+            F.col("line_offset") + F.when(F.col("entry"), F.col("last_in")).otherwise(F.col("last_out")),
+        )
+        .withColumn(
+            "left_open",
+            _state_before(
+                F.last("mark", ignorenulls=True).over(so_far), F.col("seen") + F.col("swaps"), F.lit(False)
+            ),
+        )
         .select(
             "file",
             "block",
             "entry",
             F.coalesce(F.sum("starts").over(prior), F.lit(0)).alias("rec_offset"),
+            "line_offset",
+            # first line and number of a record that never ends
+            F.when(F.last("left_open").over(whole), F.max("last_start").over(whole)).alias("tail_from"),
+            F.sum("starts").over(whole).alias("tail_rec"),
             F.rtrim(F.first("first_line").over(order), F.lit("\r")).alias("header"),
         )
     )
@@ -124,7 +148,15 @@ def _with_state(lines: DataFrame) -> DataFrame:
                 within.rowsBetween(W.unboundedPreceding, 0)
             ),
         )
-        .select("file", "block", "pos", "line", "outside", "open_after", "rec_no", *HEADER_FACTS)
+        .withColumn("past", F.col("line_offset") + F.col("row") - F.col("tail_from"))
+        .withColumn("in_tail", F.coalesce(F.col("past") >= 0, F.lit(False)))
+        .select(
+            "file", "block", "pos", "line",
+            (F.col("outside") | F.col("in_tail")).alias("outside"),
+            (F.col("open_after") & ~F.col("in_tail")).alias("open_after"),
+            F.when(F.col("in_tail"), F.col("tail_rec") + F.col("past")).otherwise(F.col("rec_no")).alias("rec_no"),
+            *HEADER_FACTS,
+        )
     )
 
 
@@ -134,8 +166,17 @@ def _plain_path(path: Column) -> Column:
     return F.when(path.contains("%"), F.url_decode(kept_plus)).otherwise(path)
 
 
+def _post(path: Column, pattern: str) -> Column:
+    named = _plain_path(F.regexp_extract(path, SLICE, 1))  # partition values are escaped once more
+    return F.when(path.rlike(SLICE), named).otherwise(F.regexp_extract(path, pattern, 1))
+
+
 def read_records(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM) -> DataFrame:
-    """Records of a file, folder or glob: file, post, record_no, fields, n_header, threaded."""
+    """Records of a file, folder or glob: file, post, record_no, fields, n_header, threaded.
+
+    Files under post=.../first_record=N/ (see operators.release.write_lines) belong to that post, and
+    their first record has number N.
+    """
     lines = _with_state(_lines(spark, path))
     whole = F.col("outside") & ~F.col("open_after")
     single = lines.where(whole).select(
@@ -158,15 +199,28 @@ def read_records(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM)
     )
     records = single.unionByName(multi).where(F.col("rec_no") > 1)
     path = _plain_path(F.col("file"))
+    first = F.regexp_extract(path, SLICE, 2).try_cast("bigint")
     return records.select(
         F.element_at(F.split(path, "/"), -1).alias("file"),
-        F.regexp_extract(path, post_pattern, 1).alias("post"),
-        F.col("rec_no").alias("record_no"),
+        _post(path, post_pattern).alias("post"),
+        (F.col("rec_no") + F.coalesce(first - 2, F.lit(0))).alias("record_no"),
         fx.split_record(F.col("record")).alias("fields"),
         *HEADER_FACTS,
     )
 
 
+def read_headers(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM) -> DataFrame:
+    """(post, header): the first line of every post's file."""
+    first = (
+        _lines(spark, path)
+        .where(F.col("block") == 0)
+        .groupBy("file")
+        .agg(F.rtrim(F.min_by("line", "pos"), F.lit("\r")).alias("header"))
+    )
+    post = _post(_plain_path(F.col("file")), post_pattern)
+    return first.groupBy(post.alias("post")).agg(F.min("header").alias("header"))
+
+
 def with_header(records: DataFrame) -> DataFrame:
     """Replace the header line of a record by what parsing needs of it."""
     head = fx.split_record(F.col("header"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_BYTES_PER_CORE = 32 << 20
+SMALL_BYTES = 256 << 20
 
 
 def size_in_bytes(df: DataFrame) -> int:
@@ -13,10 +13,11 @@ def size_in_bytes(df: DataFrame) -> int:
 
 
 def read_table(spark: SparkSession, path: str, spread: bool = True) -> DataFrame:
-    """Parquet scan. A small table (one that may sit in fewer row groups than there are
-    cores) is dealt out to all cores; anything larger is read as it is split on disk."""
+    """Parquet scan. A table of less than SMALL_BYTES (it may be a row group or two) is dealt
+    out to all cores; anything larger is read as it is split on disk, however many cores there are."""
     df = spark.read.parquet(path)
     if not spread:
         return df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < size_in_bytes(df) < cores * SMALL_BYTES_PER_CORE else df
+    if not 0 < size_in_bytes(df) < SMALL_BYTES:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)

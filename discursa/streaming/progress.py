@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +31,18 @@ def throughput(
     """Requests per (sliding) window; state is bounded by the watermark.
 
     On batch frames every row counts. On a stream rows that come later than `lateness` behind the
-    newest event are not counted: Spark drops them, as their windows are closed.
+    newest event are not counted: Spark drops them, as their windows are closed. For totals that
+    miss no row, however late, give `window_counts` to `run_counting`.
     """
+    return window_counts(events.withWatermark(time, lateness), time, width, slide)
+
+
+def window_counts(
+    events: DataFrame, time: str = "t", width: str = "10 seconds", slide: str | None = None
+) -> DataFrame:
     w = F.window(time, width, slide) if slide else F.window(time, width)
     return (
-        events.withWatermark(time, lateness)
-        .groupBy(w.alias("w"))
+        events.groupBy(w.alias("w"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
     )
@@ -82,27 +90,45 @@ def latest_progress(counters: DataFrame, keys: list[str], order: str) -> DataFra
     )
 
 
-def run_available(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Drain a stream with update semantics and return its final rows.
+def _drain(stream: DataFrame, name: str, per_batch: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Rows of per_batch for every micro-batch of what a stream holds now, with the batch number.
 
-    Every micro-batch overwrites its own folder (safe to replay); the newest row per key
-    wins. Nothing passes through the driver.
+    Every micro-batch overwrites its own folder (safe to replay); nothing passes through the driver.
     """
     spark = stream.sparkSession
     out, state = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state")
+    none = per_batch(spark.createDataFrame([], stream.schema))
+    none.write.parquet(f"{out}/batch=-1")  # a stream without data has no batches
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        per_batch(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
-        stream.writeStream.outputMode("update")
+        stream.writeStream.outputMode(mode)
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    return spark.read.schema(f"{none.schema.toDDL()}, batch bigint").parquet(out)
+
+
+def run_counting(
+    stream: DataFrame, count: Callable[[DataFrame], DataFrame], keys: list[str], name: str
+) -> DataFrame:
+    """Exact counts (keys, n) of all rows of a stateless stream, in whatever order they come.
+
+    Each micro-batch is counted by itself and the counts are summed up: no state is held between
+    batches, and no row is too late.
+    """
+    rows = _drain(stream, name, count, "append")
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def run_available(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Drain a stream with update semantics and return its final rows: the newest per key."""
+    rows = _drain(stream, name, lambda batch: batch, "update")
     values = [c for c in stream.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return newest.select(*keys, "v.*")

@@ -19,6 +19,23 @@ def test_stream_over_log_files(spark, tmp_path):
     assert sorted(r.n for r in out.collect()) == [1, 2]
 
 
+def test_unordered_batches_lose_no_row(spark, tmp_path):
+    """40 events in 8 files, newest first, in several micro-batches, against the batch result."""
+    for k in range(8):
+        lines = [f'[x] 2026/07/11 - {23 - (5 * k + i) // 2:02d}:{30 * (i % 2):02d}:00 | POST "/"' for i in range(5)]
+        (tmp_path / f"{k}.log").write_text("\n".join(lines) + "\n")
+    stream = progress.parse_requests(spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path)))
+    got = progress.run_counting(stream, lambda b: progress.window_counts(b, width="1 hour"), ["start", "end"], "u")
+    want = progress.window_counts(progress.parse_requests(spark.read.text(str(tmp_path))), width="1 hour")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sum(r.n for r in got.collect()) == 40
+
+
+def test_stream_without_data(spark, tmp_path):
+    times = progress.parse_requests(progress.stream_lines(spark, str(tmp_path)))
+    assert progress.run_counting(times, progress.window_counts, ["start"], "e").count() == 0
+
+
 def test_recent_ignores_the_future(spark):
     t = progress.parse_requests(spark.createDataFrame([(x,) for x in LINES], "value string"))
     now = F.lit("2026-07-11 10:00:11").cast("timestamp")

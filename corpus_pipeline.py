@@ -43,7 +43,7 @@ def drop_near_duplicates(spark, docs, sf_dir):
 def decontaminate_benchmark(spark, docs, sf_dir):
     """Drops documents that hold a benchmark item."""
     small_batches(spark)
-    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.without_leaking_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark, docs, sf_dir):

@@ -1,7 +1,8 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming blocks, exact
 weighted-shingle similarity.
 
-A window is as many consecutive words of a document as an item has. Windows that share no shingle
+A window is as many consecutive words of a document as an item has; with `short`, a document of fewer
+words is one window of its own. Windows that share no shingle
 with any item have similarity 0 and are passed over; of the others every one is fingerprinted. The
 64 bits are cut into RADIUS + 1 blocks: fingerprints within RADIUS bits agree in one block at least
 (pigeonhole), so looking the blocks up in an index of the items finds all of them. What is found is
@@ -129,7 +130,7 @@ def _similarity(g: np.ndarray, values: np.ndarray, counts: np.ndarray) -> float:
     return both / (n.sum() + counts.sum() - both)
 
 
-def _matches(index: Index, h: np.ndarray, least: float):
+def _matches(index: Index, h: np.ndarray, least: float, short: bool):
     """(item, start word, windows's similarity) of every window of one document that reaches least."""
     shingles = {}
     for size in index.known:
@@ -137,9 +138,12 @@ def _matches(index: Index, h: np.ndarray, least: float):
         for hit in index.hits(g, size).tolist():
             for key in index.owners[size][int(np.searchsorted(index.known[size], g[hit]))]:
                 shingles.setdefault(key, (g, []))[1].append(hit)
-    for (n, size), (g, hits) in sorted(shingles.items()):
+    for key, (g, hits) in sorted(shingles.items()):
+        n, size = key
         if len(h) < n:
-            continue
+            if not short:
+                continue
+            n = len(h)
         hits = np.array(hits)
         mark = np.zeros(len(h) + 2, np.int32)  # window starts with a known shingle inside
         np.add.at(mark, np.maximum(hits - (n - size), 0), 1)
@@ -153,18 +157,18 @@ def _matches(index: Index, h: np.ndarray, least: float):
                 total = np.zeros((len(run) + n - size + 1, 64), np.int32)
                 np.cumsum(_bits(g[run[0] : run[-1] + n - size + 1]), axis=0, out=total[1:])
                 sums = total[n - size + 1 :] - total[: len(run)]
-                for w, j in zip(*index.near((n, size), _simhash(sums))):
+                for w, j in zip(*index.near(key, _simhash(sums))):
                     item = index.items[j]
                     s = _similarity(g[run[w] : run[w] + n - size + 1], item[3], item[4])
                     if s >= least:
                         yield j, int(run[w]), s
 
 
-def _search(index: Index, least: float) -> Callable:
+def _search(index: Index, least: float, short: bool) -> Callable:
     def run(batches):
         for batch in batches:
             rows = []
-            doc_ids = batch.column(0)
+            doc_ids, marks = batch.column(0), batch.column(2)
             for a, b, h, woff in _letters(batch.column(1)):
                 for size in index.known:  # most texts end here
                     g, goff = grams(h, woff, size)
@@ -172,44 +176,62 @@ def _search(index: Index, least: float) -> Callable:
                     texts = np.unique(np.searchsorted(goff, at, "right") - 1) if len(at) else []
                     for i in texts:
                         best = {}
-                        for j, start, s in _matches(index, h[woff[i] : woff[i + 1]], least):
+                        for j, start, s in _matches(index, h[woff[i] : woff[i + 1]], least, short):
                             if index.items[j][2] == size and (j not in best or s > best[j][0]):
                                 best[j] = (s, start)
-                        rows += [(doc_ids[int(a + i)].as_py(), index.items[j][0], float(s), start, index.items[j][1]) for j, (s, start) in best.items()]
+                        rows += [(doc_ids[int(a + i)].as_py(), marks[int(a + i)].as_py(), index.items[j][0], float(s), start, index.items[j][1]) for j, (s, start) in best.items()]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "_row", "item_id", "similarity", "start_word", "n_words"])
 
     return run
 
 
-SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long"
+SCHEMA = "doc_id long, _row long, item_id long, similarity double, start_word long, n_words long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, short: bool = False) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): for each document and item the best window
     (the first of equals) whose weighted Jaccard similarity on `shingle`-word shingles reaches `least`.
 
-    Words are lower-cased runs of letters and digits; weights are counts. An item of fewer words than a
-    shingle is one shingle; an item without words matches nothing, nor does a null or empty text.
-    Repeated documents each give their rows, items with equal texts each match. Null ids stay null.
-    Empty tables give no rows; other columns are not looked at. The benchmark is read in passes of
-    PASS_ITEMS items, each a pass over the documents, so tasks hold a bounded part of it.
+    short: a document of fewer words than the item is one window of all its words; else it has none.
+    n_words is the item's. Words are lower-cased runs of letters and digits; weights are counts. An item
+    of fewer words than a shingle is one shingle; an item without words matches nothing, nor does a null
+    or empty text. Repeated documents each give their rows, items with equal texts each match. Null ids
+    stay null. Empty tables give no rows; other columns are not looked at. The benchmark is read in
+    passes of PASS_ITEMS items, each a pass over the documents, so tasks hold a bounded part of it.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("_row"))
+    return _leaks(src, benchmark, shingle, least, radius, short).drop("_row")
+
+
+def _leaks(src: DataFrame, benchmark: DataFrame, shingle: int, least: float, radius: int, short: bool) -> DataFrame:
+    """find_leaks with the mark _row of each row of src (doc_id, text, _row)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
-    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    out = src.sparkSession.createDataFrame([], SCHEMA)
     n = items.count()
     passes = -(-n // PASS_ITEMS)
     for p in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(passes)) == p).orderBy("item_id", "item").collect()
         index = Index([r.item_id for r in part], [r.item or "" for r in part], shingle, radius)
         if index.items:
-            out = out.union(src.mapInArrow(_search(index, least), SCHEMA))
+            out = out.union(src.mapInArrow(_search(index, least, short), SCHEMA))
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without the rows in which an item is found. All columns stay."""
+    """docs without the rows whose id is that of a row in which an item is found; rows without id stay.
+    All columns stay."""
     bad = staged(find_leaks(docs, benchmark, **how).select("doc_id").distinct(), "leaks")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_leaking_rows(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """docs without the rows in which an item is found, rows without id included; documents shorter
+    than an item are one window. Rows are marked by id and text hash, so another text under the same id
+    stays. All columns stay."""
+    keyed = docs.withColumn("_row", F.xxhash64("text"))
+    src = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_row")
+    bad = staged(_leaks(src, benchmark, shingle, least, radius, True).select("doc_id", "_row").distinct(), "leaks")
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._row") == F.col("b._row"))
+    return keyed.alias("d").join(bad.alias("b"), same, "left_anti").select(*docs.columns)

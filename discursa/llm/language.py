@@ -49,18 +49,19 @@ def _grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihood table) from docs (text, lang): `languages` most frequent ones, each
-    from `sample` texts at most, drawn by hash. The last row is "und". Rows without text or language
+    from `sample` different texts at most, drawn by hash; copies of a text count once. The last row is "und". Rows without text or language
     are left out; no rows leave "und" alone."""
-    known = docs.where("text is not null and lang is not null and lang <> 'und' and length(lang) > 0")
+    known = docs.where("text is not null and lang is not null and lang <> 'und' and length(lang) > 0").select(F.xxhash64("text").alias("h"), "lang", "text")
     langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
     picked = None
     for lang in langs:
-        part = known.where(F.col("lang") == lang).select(F.lit(langs.index(lang)).alias("k"), F.xxhash64("text").alias("h"))
-        part = part.orderBy("h").limit(sample).select("k", "h")
+        part = known.where(F.col("lang") == lang).select(F.lit(langs.index(lang)).alias("k"), "h")
+        part = part.distinct().orderBy("h").limit(sample)
         picked = part if picked is None else picked.union(part)
     table = np.full((len(langs) + 1, DIMS), 0.5)
     if picked is not None:
-        near = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked.distinct()), "h").select("k", "text")
+        number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
+        near = known.withColumn("k", number.cast("int")).join(F.broadcast(picked), ["k", "h"]).groupBy("k", "h").agg(F.first("text").alias("text")).select("k", "text")
 
         def count(batches):
             total = {}

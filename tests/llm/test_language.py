@@ -67,3 +67,13 @@ def test_edges(spark):
     assert (got[None].host, got[None].suffix, got[3].declared) == ("h.fr", "fr", "de")
     assert language.identify_pages(pages.limit(0), model).count() == 0
     assert language.train(docs.limit(0))[0] == ["und"]
+
+
+def test_copies_count_once(spark):
+    docs = documents(spark, "/root/testdata/sf0.001").select("text", "lang")
+    once = docs.distinct()
+    for seed in range(4):  # some of these come early by hash
+        hot = spark.range(3_000).select(F.lit(f"zzyq {seed} xqj wvk").alias("text"), F.lit("en").alias("lang"))
+        want = language.train(once.union(hot.limit(1)), sample=20)
+        got = language.train(docs.union(hot), sample=20)
+        assert got[0] == want[0] and (got[1] == want[1]).all()

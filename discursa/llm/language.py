@@ -20,8 +20,8 @@ from discursa.llm.textbatch import text_slices
 
 DIMS = 1 << 15
 UND = "und"
-#: Training texts a language, the first by hash; languages, the most frequent.
-SAMPLE, LANGUAGES = 2_000, 30
+#: Training texts a language, the first by hash; languages counted or scored at once.
+SAMPLE, AT_ONCE = 2_000, 30
 #: Natural log units the text evidence is worth at most for each n-gram of 1,000: neighbouring
 #: n-grams repeat each other, so the whole text counts as if it had fewer.
 EVIDENCE_GRAMS = 200
@@ -47,37 +47,48 @@ def _grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[at].astype(np.int64), np.searchsorted(at, off)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihood table) from docs (text, lang): `languages` most frequent ones, each
-    from `sample` different texts at most, drawn by hash; copies of a text count once. The last row is "und". Rows without text or language
-    are left out; no rows leave "und" alone."""
-    known = docs.where("text is not null and lang is not null and lang <> 'und' and length(lang) > 0").select(F.xxhash64("text").alias("h"), "lang", "text")
-    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
-    picked = None
-    for lang in langs:
-        part = known.where(F.col("lang") == lang).select(F.lit(langs.index(lang)).alias("k"), "h")
-        part = part.distinct().orderBy("h").limit(sample)
-        picked = part if picked is None else picked.union(part)
+def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """(languages, log likelihood table) from docs (text, lang): every language of a row or more, each
+    from `sample` different texts at most, drawn by hash; copies of a text count once. Languages are
+    the primary subtags of lang, or where it is no tag its value in lower case. The last row is "und".
+    Rows without text or language are left out; no rows leave "und" alone."""
+    label = F.coalesce(primary(F.col("lang")), F.trim(F.lower("lang")))
+    known = docs.where("text is not null").select(F.xxhash64("text").alias("h"), label.alias("lang"), "text").where(F.col("lang").isNotNull() & ~F.col("lang").isin("", UND))
+    hashes = staged(known.select("lang", "h").distinct(), "language-hashes").withColumn("p", F.shiftright("h", 54))
+    # The prefix of the hash at which each language's sample is full, then the hash itself.
+    sizes = hashes.groupBy("lang", "p").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("sizes"))
+    full = {}
+    for r in sizes.toLocalIterator():
+        seen = np.cumsum([x.n for x in r.sizes])
+        full[r.lang] = r.sizes[min(int(np.searchsorted(seen, sample)), len(seen) - 1)].p
+    langs = sorted(full)
     table = np.full((len(langs) + 1, DIMS), 0.5)
-    if picked is not None:
-        number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
-        near = known.withColumn("k", number.cast("int")).join(F.broadcast(picked), ["k", "h"]).groupBy("k", "h").agg(F.first("text").alias("text")).select("k", "text")
+    if langs:
+        cuts = docs.sparkSession.createDataFrame([(x, k, full[x]) for k, x in enumerate(langs)], "lang string, k int, full long")
+        first = hashes.join(F.broadcast(cuts), "lang").where("p <= full").groupBy("lang", "k").agg(F.sort_array(F.collect_list("h")).alias("hs"))
+        last = staged(first.select("lang", "k", F.element_at("hs", F.least(F.size("hs"), F.lit(sample))).alias("last")), "language-cuts")
+        near = known.join(F.broadcast(last), "lang").where("h <= last").groupBy("k", "h").agg(F.first("text").alias("text")).select("k", "text")
 
-        def count(batches):
-            total = {}
-            for batch in batches:
-                ks = batch.column(0).to_numpy()
-                for a, b, raw, off in text_slices(batch.column(1), 1 << 20):
-                    g, goff = _grams(raw, off)
-                    of = np.repeat(ks[a:b], np.diff(goff))
-                    for k in np.unique(ks[a:b]):
-                        total[int(k)] = total.get(int(k), 0) + np.bincount(g[of == k], minlength=DIMS)
+        def flush(total):
             for k, v in total.items():
                 at = np.flatnonzero(v)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(v[at].astype(np.int64))], names=["k", "g", "n"]
                 )
 
+        def count(batches):
+            total = {}
+            for batch in batches:
+                ks = batch.column(0).to_pylist()
+                for a, b, raw, off in text_slices(batch.column(1), 1 << 20):
+                    g, goff = _grams(raw, off)
+                    for i, k in enumerate(ks[a:b]):
+                        if k not in total and len(total) == AT_ONCE:
+                            yield from flush(total)
+                            total = {}
+                        total[k] = total.get(k, 0) + np.bincount(g[goff[i] : goff[i + 1]], minlength=DIMS)
+            yield from flush(total)
+
         for r in near.mapInArrow(count, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toLocalIterator():
             table[r.k, r.g] += r.n
     table = np.log(table / table.sum(axis=1, keepdims=True))
@@ -89,7 +100,7 @@ def text_evidence(df: DataFrame, model, id_cols: list[str], text_col: str) -> Da
     """id columns, n_grams, and loglik: each language's log likelihood of the text, scaled to the
     evidence of at most EVIDENCE_GRAMS n-grams."""
     langs, table = model
-    flat = table.T.astype(np.float32).copy()
+    flat = [table[k : k + AT_ONCE].T.astype(np.float32).copy() for k in range(0, len(langs), AT_ONCE)]
 
     def run(batches):
         for batch in batches:
@@ -99,7 +110,7 @@ def text_evidence(df: DataFrame, model, id_cols: list[str], text_col: str) -> Da
                 for i in range(b - a):
                     n = goff[i + 1] - goff[i]
                     if n:
-                        out[i] = flat[g[goff[i] : goff[i + 1]]].mean(axis=0, dtype=np.float64) * min(n, EVIDENCE_GRAMS)
+                        out[i] = np.concatenate([x[g[goff[i] : goff[i + 1]]].mean(axis=0, dtype=np.float64) for x in flat]) * min(n, EVIDENCE_GRAMS)
                 cols = [batch.column(c).slice(a, b - a) for c in range(len(id_cols))]
                 yield pa.RecordBatch.from_arrays(
                     [*cols, pa.array(np.diff(goff)), pa.array(list(out), pa.list_(pa.float64()))], names=[*id_cols, "n_grams", "loglik"]

@@ -77,3 +77,16 @@ def test_copies_count_once(spark):
         want = language.train(once.union(hot.limit(1)), sample=20)
         got = language.train(docs.union(hot), sample=20)
         assert got[0] == want[0] and (got[1] == want[1]).all()
+
+
+def test_every_language_has_a_model(spark):
+    rows, codes = [], [f"q{chr(97 + k)}" for k in range(26)] + [f"x{chr(97 + k)}" for k in range(14)]
+    for k, code in enumerate(codes):  # each has its own letters; the last has fewest rows
+        letters = [chr(0x4E00 + 40 * k + x) for x in range(40)]
+        rows += [(" ".join("".join(letters[(n * i + j) % 40] for j in range(3)) for i in range(1, 30)), code) for n in range(1, 45 - k)]
+    rows += [("one tag written in three ways", x) for x in ("en", "en-US", "EN")] + [("no tag at all", "Klingonic"), ("not known", "und")]
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumn("doc_id", F.monotonically_increasing_id()).withColumn("source", F.lit(None).cast("string"))
+    model = language.train(docs)
+    assert model[0] == sorted([*codes, "en", "klingonic"]) + ["und"]
+    got = language.identify_documents(docs.where(F.col("lang").isin(codes)).withColumn("truth", F.col("lang")), model, ["doc_id", "truth"]).collect()
+    assert len(got) == sum(44 - k for k in range(40)) and all(r.language == r.truth for r in got)

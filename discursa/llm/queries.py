@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from discursa.llm import decontaminate, language, merkle, minhash, mixing, packing, pii, substrings, toxicity, warc
+from discursa.llm import bpe, decontaminate, language, merkle, minhash, mixing, packing, pii, substrings, toxicity, warc
 from discursa.llm.registry import query
 from discursa.llm.tables import documents, remainder
 
@@ -75,3 +75,13 @@ def op7(spark, sf_dir):
 @query("op1_context_mixing")
 def op1(spark, sf_dir):
     return mixing.score(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2)
+
+
+@query("op11_byte_bpe")
+def op11(spark, sf_dir):
+    path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return bpe.decode(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
+    )

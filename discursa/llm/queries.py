@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from discursa.llm import bpe, decontaminate, language, merkle, minhash, mixing, packing, pii, substrings, toxicity, warc
+from discursa.llm import bpe, decontaminate, language, merkle, minhash, mixing, packing, pii, substrings, toxicity, variants, warc
 from discursa.llm.registry import query
 from discursa.llm.tables import documents, remainder
 
@@ -85,3 +85,49 @@ def op11(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+OP12_SQL = """
+WITH RECURSIVE steps AS (
+  SELECT list(v ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS v
+    FROM range(256) AS r(i))
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+    translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (SELECT id, run, count(*) AS n FROM runs GROUP BY id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce(
+    flatten(list_transform(string_split(id || ':' || run, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM counted, steps
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+    FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS (
+  SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)
+), near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cut x JOIN words y ON x.a || x.b = y.word
+  UNION SELECT y.word, x.word, x.n FROM cut x JOIN words y ON x.a || x.b = y.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+    CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), chain AS (
+  SELECT word, word AS root, form AS up FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.up = f.word
+)
+SELECT f.*, root FROM formed f JOIN chain c ON f.word = c.word AND c.up IS NULL
+"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12(spark, sf_dir):
+    return variants.group_variants(variants.count_words(variants.with_slips(variants.runs(documents(spark, sf_dir)))))

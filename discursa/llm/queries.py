@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from discursa.llm import bpe, decontaminate, language, merkle, minhash, mixing, packing, pii, substrings, toxicity, variants, warc
+from discursa.llm import bpe, decontaminate, language, merkle, minhash, mixing, negatives, packing, pii, substrings, toxicity, variants, warc
 from discursa.llm.registry import query
 from discursa.llm.tables import documents, remainder
 
@@ -131,3 +131,30 @@ SELECT f.*, root FROM formed f JOIN chain c ON f.word = c.word AND c.up IS NULL
 @query("op12_spelling_variants", OP12_SQL)
 def op12(spark, sf_dir):
     return variants.group_variants(variants.count_words(variants.with_slips(variants.runs(documents(spark, sf_dir)))))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same, list_dot_product(a.vec, v.vec)::BIGINT AS score
+  FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+    id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return negatives.mine(negatives.integer_rows(vectors, "vec_id", label, "embedding"), F.col("id") % 50 == 0)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discursa.llm.tables import staged
-from discursa.llm.textbatch import grams, mix, spans, text_slices
+from discursa.llm.textbatch import grams, mix, spans, text_slices, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -184,7 +184,7 @@ def _search(index: Index, least: float, short: bool) -> Callable:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "_row", "item_id", "similarity", "start_word", "n_words"])
 
-    return run
+    return tidy(run)
 
 
 SCHEMA = "doc_id long, _row long, item_id long, similarity double, start_word long, n_words long"

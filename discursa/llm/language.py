@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discursa.llm.tables import staged
-from discursa.llm.textbatch import text_slices
+from discursa.llm.textbatch import text_slices, tidy
 
 DIMS = 1 << 15
 UND = "und"
@@ -89,7 +89,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
                         total[k] = total.get(k, 0) + np.bincount(g[goff[i] : goff[i + 1]], minlength=DIMS)
             yield from flush(total)
 
-        for r in near.mapInArrow(count, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in near.mapInArrow(tidy(count), "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toLocalIterator():
             table[r.k, r.g] += r.n
     table = np.log(table / table.sum(axis=1, keepdims=True))
     table[-1] = -np.log(DIMS)
@@ -118,7 +118,7 @@ def text_evidence(df: DataFrame, model, id_cols: list[str], text_col: str) -> Da
 
     src = df.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{kinds}, n_grams long, loglik array<double>")
+    return src.mapInArrow(tidy(run), f"{kinds}, n_grams long, loglik array<double>")
 
 
 def primary(code: Column) -> Column:

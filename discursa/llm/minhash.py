@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from discursa.llm.components import components
 from discursa.llm.tables import staged
-from discursa.llm.textbatch import grams, mix, spans, text_slices
+from discursa.llm.textbatch import grams, mix, spans, text_slices, tidy
 
 ROWS, BANDS = 6, 40
 #: Signature agreement under which a pair is not looked at: at similarity 0.8 the mean is 0.8 and
@@ -59,6 +59,13 @@ def _minima(sets: list[np.ndarray], rows: int, bands: int, seed: int = 7):
     return minima, mix(keys + np.arange(bands, dtype=np.uint64)[None, :])
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Size and 128-bit digest of each set."""
+    d0 = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+    d1 = [int(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+    return pa.array([len(s) for s in sets], pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64())
+
+
 def signatures(words: int, rows: int, bands: int) -> Callable:
     """mapInArrow function: (id, text) to set size, 128-bit set digest and band keys."""
 
@@ -66,23 +73,18 @@ def signatures(words: int, rows: int, bands: int) -> Callable:
         for batch in batches:
             for at, to, raw, off in text_slices(batch.column(1)):
                 sets = list(shingle_sets(raw, off, words))
-                n = np.array([len(s) for s in sets], np.int64)
-                d0 = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                d1 = [int(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 _, keys = _minima(sets, rows, bands)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, to - at), pa.array(n), pa.array(d0, pa.int64()),
-                        pa.array(d1, pa.int64()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-                    ],
+                    [batch.column(0).slice(at, to - at), *_digests(sets), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
                     names=["id", "n", "d0", "d1", "keys"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _contents(words: int, rows: int, bands: int) -> Callable:
-    """mapInArrow function: (id, text) to a byte of each minimum, 32 bits of each band key, the set."""
+    """mapInArrow function: (id, text) to set size and digest, a byte of each minimum, 32 bits of each
+    band key, the set."""
 
     def run(batches):
         for batch in batches:
@@ -93,14 +95,14 @@ def _contents(words: int, rows: int, bands: int) -> Callable:
                 keys = (keys >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, to - at), pa.array([x.tobytes() for x in small], pa.binary()),
+                        batch.column(0).slice(at, to - at), *_digests(sets), pa.array([x.tobytes() for x in small], pa.binary()),
                         pa.array([x.tobytes() for x in keys], pa.binary()),
                         pa.array([x.tobytes() for x in sets], pa.binary()),
                     ],
-                    names=["id", "sig", "keys", "members"],
+                    names=["id", "n", "d0", "d1", "sig", "keys", "members"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -124,7 +126,7 @@ def _verify(num: int, den: int, sure: float) -> Callable:
                     keep[i] = _linked(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), num, den)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return run
+    return tidy(run)
 
 
 def _block(num: int, den: int, sure: float) -> Callable:
@@ -167,7 +169,8 @@ def near_duplicates(
     band is (1 - 0.8**rows)**bands, 5e-6 with the defaults.
 
     Null and empty texts have an empty set and are linked with nothing. A row without id keeps a null
-    component and kept = false. Repeated rows belong to one document and all come back. Fewer words
+    component and kept = false. Rows of one id are one document, whatever their texts: a link of one of them
+    is a link of the document, and all come back with one component. Fewer words
     than a shingle make one shingle. An empty table gives an empty result; columns besides id and text
     are not looked at. Texts of any length are taken whole.
     """
@@ -176,29 +179,26 @@ def near_duplicates(
         src.mapInArrow(signatures(words, rows, bands), "id long, n long, d0 long, d1 long, keys array<long>"),
         "signatures",
     )
+    sig, alias = _nodes(sig)
     known = sig.where("n > 0 and id is not null")
     copies = staged(
-        known.groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top"),
+        known.groupBy("d0", "d1", "n").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top"),
         "copies",
     )
     member = staged(
-        sig.select("id", "n", "d0", "d1").join(copies.drop("top"), ["d0", "d1", "n"], "left")
-        .select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep")),
+        sig.select("id", "node", "n", "d0", "d1").join(copies.drop("top"), ["d0", "d1", "n"], "left")
+        .select("id", "node", "n", F.when(F.col("n") > 0, F.coalesce("rep", "node")).otherwise(F.col("node")).alias("rep")),
         "classes",
     )
-    copied = member.where("n > 0 and id != rep").select("id").distinct()
+    copied = member.where("n > 0 and node != rep").select("node").distinct()
     bucket = staged(
-        known.select("id", "keys").join(copied, "id", "left_anti").select("id", F.explode("keys").alias("bucket")),
+        known.select("node", "keys").join(copied, "node", "left_anti").select(F.col("node").alias("id"), F.explode("keys").alias("bucket")),
         "bands",
     )
     full = bucket.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("k"))
     members = staged(bucket.join(staged(full.where("least < most").select("bucket", "k"), "buckets"), "bucket"), "members")
     weight = staged(members.groupBy("id").agg(F.sum("k").alias("weight")), "weights")
-    content = staged(
-        src.join(weight, "id", "left_semi")
-        .mapInArrow(_contents(words, rows, bands), "id long, sig binary, keys binary, members binary"),
-        "contents",
-    )
+    content = _content_of(src, weight, alias, _contents(words, rows, bands))
 
     heavy = F.max(F.struct("weight", (-F.col("id")).alias("order")))
     pivots = staged(
@@ -209,6 +209,10 @@ def near_duplicates(
     one = content.select(F.col("id").alias("a"), F.col("sig").alias("sx"), F.col("members").alias("x"))
     two = content.select(F.col("id").alias("b"), F.col("sig").alias("sy"), F.col("members").alias("y"))
     links = pairs.join(one, "a").join(two, "b").mapInArrow(_verify(num, den, sure), "a long, b long")
+    if alias is not None:  # rows of one document belong together, and so do those of equal sets
+        same = alias.join(alias.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b")
+        equal = member.where("n > 0 and node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        links = links.union(same).union(equal)
     comp = staged(components(staged(links, "verified")), "components")
 
     rest = _rest(at_pivot.where("id != p").select("bucket", "id"), comp)
@@ -218,11 +222,78 @@ def near_duplicates(
     )
     comp = staged(_merged(comp, staged(more, "verified")), "components")
     done = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
+        "id", "n", F.coalesce("component", "rep").alias("component")
     )
+    if alias is not None:
+        done = _by_id(staged(done, "by-node"))
+    done = done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return done.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
+def _nodes(sig: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Adds node, what links are found between: the id, or where an id has several sets, a number beyond
+    all ids for each of them. The second result names these (id, n, d0, d1, node); None if there are none."""
+    first, last = F.min(F.struct("d0", "d1", "n")), F.max(F.struct("d0", "d1", "n"))
+    several = sig.where("id is not null").groupBy("id").agg(first.alias("a"), last.alias("b")).where("a != b").select("id")
+    several = staged(several, "several-sets")
+    if several.isEmpty():
+        return sig.withColumn("node", F.col("id")), None
+    beyond = sig.agg(F.max("id")).first()[0] + 1
+    sets = sig.join(several, "id", "left_semi").select("id", "n", "d0", "d1").distinct()
+    alias = staged(sets.withColumn("node", F.monotonically_increasing_id() + beyond), "nodes")
+    sig = sig.join(alias, ["id", "n", "d0", "d1"], "left").withColumn("node", F.coalesce("node", "id"))
+    return staged(sig.select("id", "n", "d0", "d1", "keys", "node"), "signatures"), alias.where("n > 0")
+
+
+def _content_of(src: DataFrame, weight: DataFrame, alias: DataFrame | None, run: Callable) -> DataFrame:
+    """(id, sig, keys, members) of the nodes in weight, once each; the nodes are called id."""
+    schema = "id long, n long, d0 long, d1 long, sig binary, keys binary, members binary"
+    if alias is None:
+        return staged(src.join(weight, "id", "left_semi").mapInArrow(run, schema).select("id", "sig", "keys", "members"), "contents")
+    ids = weight.select("id").union(alias.join(weight.select(F.col("id").alias("node")), "node", "left_semi").select("id")).distinct()
+    rows = src.join(ids, "id", "left_semi").mapInArrow(run, schema).join(alias, ["id", "n", "d0", "d1"], "left")
+    rows = rows.select(F.coalesce("node", "id").alias("id"), "sig", "keys", "members").join(weight.select("id"), "id", "left_semi")
+    return staged(rows.dropDuplicates(["id"]), "contents")
+
+
+def _by_id(done: DataFrame) -> DataFrame:
+    """Components named by the smallest id in them, the same for all rows of an id, empty ones too."""
+    least = done.where("n > 0 and id is not null").groupBy("component").agg(F.min("id").alias("least"))
+    of = done.where("n > 0 and id is not null").select("id", "component").distinct().join(least, "component")
+    of = staged(of.groupBy("id").agg(F.min("least").alias("least")), "of-ids")
+    return done.join(of, "id", "left").join(
+        least.withColumnRenamed("least", "own"), "component", "left"
+    ).select("id", "n", F.coalesce("least", "own", "id").alias("component"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near-duplicates: of each group of linked texts the one of smallest id stays, once.
+
+    Rows are told apart by id and text, so of rows that share an id the unlike texts stay. Of rows with
+    equal id and text the least by their other columns stays; of linked texts with one id, that of least
+    digest. Rows without id all stay, as do rows without words (one for each id and text). An empty
+    table stays empty; columns must be orderable. Groups are those of near_duplicates.
+    """
+    cols = docs.columns
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    twice = docs.groupBy(id_col).count().where(F.col("count") > 1).where(F.col(id_col).isNotNull()).select(id_col)
+    twice = staged(twice, "repeated-ids")
+    if twice.isEmpty():
+        groups = near_duplicates(docs, id_col, text_col, words)
+        gone = staged(groups.where("not kept").where(F.col(id_col).isNotNull()).select(id_col), "near-copies")
+        return docs.join(gone, id_col, "left_anti").select(*cols)
+    unlike = docs.join(twice, id_col, "left_anti")
+    alike = docs.join(twice, id_col, "left_semi").groupBy(id_col, digest.alias("_digest")).agg(F.min(F.struct(*cols)).alias("_r"))
+    beyond = docs.agg(F.max(id_col)).first()[0] + 1
+    alike = alike.select("_r.*", "_digest", (F.monotonically_increasing_id() + beyond).alias("_key"))
+    rows = staged(unlike.select(*cols, F.lit("").alias("_digest"), F.col(id_col).alias("_key")).unionByName(alike), "rows")
+    groups = near_duplicates(rows, "_key", text_col, words).where("_key is not null").select("_key", "component_id")
+    order = rows.select("_key", F.struct(F.col(id_col), "_digest", "_key").alias("o"))
+    first = groups.join(order, "_key").groupBy("component_id").agg(F.min("o").alias("o"))
+    kept = staged(first.select("o._key"), "kept")
+    return rows.join(kept, "_key", "left_semi").select(*cols).union(rows.where("_key is null").select(*cols))
+
+
 def _rest(members: DataFrame, comp: DataFrame) -> DataFrame:
     """Rows (bucket, mine, other, side, id, c, rest) of the blocks to compare: in every bucket with
     several components, what is outside its largest one (side 1) against all of it (side 0)."""

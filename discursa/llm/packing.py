@@ -21,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from discursa.llm.textbatch import tidy
+
 END_ID = 2
 LENGTH = 4096
 SEGMENTS = 512
 OPEN_BINS = 16
-CACHE_WORDS = 350_000
+CACHE_WORDS = 100_000
 MARKS = b".,;:!?|*#$%&"
 JOINED = 50  # new words encoded in one call
 
@@ -216,7 +218,7 @@ def _pack(path: str, length: int, segments: int, loss: int, open_bins: int, keep
                 yield from rows(placed)
         yield from rows(packer.finish())
 
-    return run
+    return tidy(run)
 
 
 def pack(

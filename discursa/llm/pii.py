@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from discursa.llm.textbatch import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
 #: Texts the field is fitted on at most; they are those with the least md5 of the text.
@@ -310,7 +312,7 @@ def find(docs: DataFrame, weights: np.ndarray | None = None, id_col: str = "doc_
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     )
 
 
@@ -334,7 +336,7 @@ def mask(docs: DataFrame, weights: np.ndarray | None = None, text_col: str = "te
                     texts[k] = "".join(out) + text[done:]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    done = docs.mapInArrow(run, docs.schema)
+    done = docs.mapInArrow(tidy(run), docs.schema)
     if length_col in docs.columns:
         done = done.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return done

@@ -6,7 +6,9 @@ about a megabyte cut between words, so memory follows the number of words, not t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,3 +140,22 @@ def text_slices(texts, size: int = 2 * BLOCK):
     raw, off = text_buffer(texts)
     for a, b in slices(off, size):
         yield a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function from batches to batches, after which the worker gives its memory back: workers
+    live on, and what one task needed must not stay while the next ones run."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _TABLES.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied

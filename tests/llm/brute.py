@@ -19,7 +19,8 @@ def shingles(text, k):
 
 
 def near_duplicates(rows, k=2, num=80, den=100):
-    """rows of (id, text) to {id: (set size, component, kept)} by comparing all pairs."""
+    """rows of (id, text) to {id: (set size, component, kept)} by comparing all pairs; rows of one id are
+    one document (its set size is that of its last row)."""
     sets = [(i, shingles(t, k)) for i, t in rows]
     root = {i: i for i, _ in rows}
 

@@ -26,18 +26,10 @@ def identify_language(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Keeps the smallest id of each group of near-duplicates (five words, 0.8), once; rows without id
-    stay."""
+    """Keeps one of each group of near-duplicate texts (five words, 0.8), that of the smallest id, once. Rows
+    are told apart by id and text; rows without id stay."""
     small_batches(spark)
-    groups = minhash.near_duplicates(docs, words=5)
-    gone = staged(groups.where("not kept and doc_id is not null").select("doc_id").distinct(), "near-copies")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if twice.isEmpty():
-        return left
-    twice = staged(twice, "repeated-ids")
-    once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(once)
+    return minhash.keep_one(docs, words=5)
 
 
 def decontaminate_benchmark(spark, docs, sf_dir):

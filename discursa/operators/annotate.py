@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,20 @@ from discursa.functions import fields as fx
 Completion = Callable[[list[dict]], str]
 
 
-def complete(prompt: Column, make: Callable[[], Completion]) -> Column:
-    """Raw answers, NULL where the completion failed; `make` runs once per Python worker."""
+# What a completion may raise when no answer comes: time-outs and connections (OSError has both), and an
+# answer without the parts that were asked for. Anything else is a fault of the program and ends the job.
+FAILURES = (TimeoutError, ConnectionError, OSError, KeyError)
+CONCURRENCY = 8  # calls under way at once in a task
+
+
+def complete(
+    prompt: Column, make: Callable[[], Completion], failures: tuple = FAILURES, concurrency: int = CONCURRENCY
+) -> Column:
+    """Raw answers, NULL where the completion failed; `make` runs once per task.
+
+    A task has at most `concurrency` calls under way, so a completion must allow calls from several
+    threads, unless concurrency is 1. Exceptions outside `failures` end the job.
+    """
 
     @F.pandas_udf(StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -29,11 +42,12 @@ def complete(prompt: Column, make: Callable[[], Completion]) -> Column:
         def safe(messages):
             try:
                 return ask([dict(m) for m in messages])
-            except Exception:  # a failed answer is counted, never guessed
+            except failures:  # a failed answer is counted, never guessed
                 return None
 
-        for prompts in batches:
-            yield pd.Series([safe(m) for m in prompts], dtype="object")
+        with ThreadPoolExecutor(concurrency) as pool:
+            for prompts in batches:
+                yield pd.Series(list(pool.map(safe, prompts)), dtype="object")
 
     return run(prompt)
 
@@ -58,10 +72,11 @@ def offline_completion(
 
 def annotate(
     work: DataFrame, make: Callable[[], Completion] = offline_completion, system: str | None = None,
-    examples=(),
+    examples=(), failures: tuple = FAILURES, concurrency: int = CONCURRENCY,
 ) -> DataFrame:
     """work plus label struct<spam, stance, emotion>, NULL when the answer was unusable."""
-    asked = work.withColumn("response", complete(an.prompt(F.col("clean"), system, examples), make))
+    answer = complete(an.prompt(F.col("clean"), system, examples), make, failures, concurrency)
+    asked = work.withColumn("response", answer)
     return asked.withColumn("label", an.label_record(an.salvage_json(F.col("response"))))
 
 

@@ -86,21 +86,12 @@ def representatives(df: DataFrame) -> DataFrame:
     )
 
 
-def dense_cluster_ids(df: DataFrame, ordinals_per_bucket: int = 65_536) -> DataFrame:
+def dense_cluster_ids(df: DataFrame) -> DataFrame:
     """Opt-in dense ids: 0, 1, 2... by first appearance in (post, row_no) order."""
     firsts = df.groupBy("cluster").agg(
         F.min(F.struct("post", "row_no")).alias("first"), F.count(F.lit(1)).alias("cluster_size")
     )
-    ranked = ranking.bucketed_rank(
-        firsts,
-        [],
-        F.struct(
-            F.col("first.post").alias("post"),
-            F.floor(F.col("first.row_no") / ordinals_per_bucket).alias("slice"),
-        ),
-        [F.col("first")],
-        rank="dense",
-    )
+    ranked = ranking.global_rank(firsts, [F.col("first"), F.col("cluster")], "dense")
     return ranked.select("cluster", "cluster_size", (F.col("dense") - 1).alias("dense_id"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from discursa import config
+from discursa.operators import ranking
+from discursa.session import stage
 
 KEYS = ["model", "task"]
 
@@ -190,38 +192,42 @@ def bootstrap_ci(
 
 
 def bootstrap_scores_by_hash(
-    preds: DataFrame, classes: list[str], n_resamples: int, id_col: str = "id", seed: int = config.SEED
+    preds: DataFrame, classes: list[str], n_resamples: int, id_col: str = "id", seed: int = config.SEED,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """Row-level variant with hash-driven draws (reproducible in plain SQL).
+    """Row-level variant with hash-driven draws (reproducible in plain SQL), for every group of keys.
 
-    Every row makes one draw per resample; the drawn position falls into one cell of the
-    cumulated confusion counts. The cell table has at most (K+1)^2 rows per resample (labels
-    outside the domain count as one) and is broadcast.
+    Every row makes one draw per resample. The draw's position is looked up in the group's cumulated
+    confusion counts, an array of at most (K+1)^2 bounds (labels outside the domain count as one)
+    that travels with the row; no resample is joined with anything.
     """
+    keys, asked = (keys, keys) if keys else (["_all"], [])
     known = {
         c: F.when(F.col(c).isin(classes), F.col(c)).otherwise("(other)") for c in ("y_true", "y_pred")
     }
     preds = preds.where(F.col("y_pred").isNotNull()).withColumns(known)
-    counts = preds.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    order = W.partitionBy().orderBy("y_true", "y_pred")
-    cells = counts.select(
-        "y_true",
-        "y_pred",
-        (F.sum("n").over(order) - F.col("n")).alias("lo"),
-        F.sum("n").over(order).alias("hi"),
-        F.sum("n").over(W.partitionBy()).alias("total"),
-    ).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_resamples))))
-    draws = preds.select(
-        F.explode(F.sequence(F.lit(1), F.lit(n_resamples))).alias("rep"), F.col(id_col).alias("_id")
-    )
+    preds = preds if asked else preds.withColumn("_all", F.lit(1))
+    counts = preds.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    cells = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y_true", "y_pred", "n"))).alias("cells"))
+    zero = F.array().cast("array<bigint>")
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint"))
+    bounds = F.aggregate("cells", zero, lambda acc, c: F.concat(acc, F.array(last(acc) + c["n"])))
+    cells = stage(cells.withColumn("bounds", bounds).withColumn("total", F.element_at(bounds, -1)), "cells")
+    narrow = preds.select(*keys, F.col(id_col).cast("string").alias("_id"))
+    same = [narrow[k].eqNullSafe(cells[k]) for k in keys]
+    rows = narrow.join(cells, same).select(*[narrow[k] for k in keys], "_id", "bounds", "total")
+    draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_resamples))))
     u = F.conv(
-        F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rep", F.col("_id").cast("string"))), 1, 15), 16, 10
+        F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rep", "_id")), 1, 15), 16, 10
     ).cast("bigint")
-    draws = draws.withColumn("u", u)
-    pos = F.col("u") % F.col("total")
-    hit = draws.join(F.broadcast(cells), "rep").where((pos >= F.col("lo")) & (pos < F.col("hi")))
-    drawn = hit.groupBy("rep", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    return class_scores(drawn, classes, ["rep"]).groupBy("rep").agg(F.avg("f1").alias("macro_f1"))
+    placed = ranking.with_place(draws, "cell", u % F.col("total"), "bounds", (len(classes) + 1) ** 2)
+    drawn = placed.groupBy(*keys, "rep", "cell").agg(F.count(F.lit(1)).alias("n"))
+    same = [drawn[k].eqNullSafe(cells[k]) for k in keys]
+    named = drawn.join(cells, same).select(
+        *[drawn[k] for k in keys], "rep", drawn["n"],
+        *[F.element_at("cells", F.col("cell") + 1)[c].alias(c) for c in ("y_true", "y_pred")],
+    )
+    return class_scores(named, classes, [*keys, "rep"]).groupBy(*asked, "rep").agg(F.avg("f1").alias("macro_f1"))
 
 
 def percentile_interval(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:

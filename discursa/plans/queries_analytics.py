@@ -12,14 +12,14 @@ from discursa.functions import fields as fx
 from discursa.functions import lexicon as lx
 from discursa.functions import scores as sc
 from discursa.operators import (
-    annotate, calibration, dedup, features, filters, findings, linear, metrics, ranking, release,
+    annotate, calibration, dedup, features, filters, findings, heads, linear, metrics, ranking, release,
     sampling, scoring, split, terms,
 )
 from discursa.operators.annotate import offline_completion
 from discursa.plans import fixtures as fs
-from discursa.plans.queries_text import _logits, _logits_sql, _ts_text
+from discursa.plans.queries_text import _EMOJI_MAP, _logits, _logits_sql, _softmax_sql, _ts_text
 from discursa.plans.registry import query
-from discursa.session import stage
+from discursa.session import scratch_path, stage
 from discursa.streaming import progress
 
 SEED = config.SEED
@@ -163,10 +163,9 @@ def kpi(spark, sf):
 
 @query("stable_sort", "SELECT source || '#' || doc_id AS id, row_number() OVER (ORDER BY source, doc_id) AS position FROM documents")
 def stable_sort(spark, sf):
-    """Total order as a position: ranks inside slices of (post, row number)."""
+    """Total order as a position."""
     rows = fs.comments(spark, sf).select("id", "post", "row_no")
-    slice_ = F.struct("post", F.floor(F.col("row_no") / 65_536).alias("slice"))
-    ranked = ranking.bucketed_rank(rows, [], slice_, [F.col("post"), F.col("row_no")], rank="position")
+    ranked = ranking.global_rank(rows, [F.col("post"), F.col("row_no")], "position")
     return ranked.select("id", "position")
 
 
@@ -190,8 +189,7 @@ def examples_per_class(spark, sf):
 @query("seeded_shuffle", f"WITH {fs.C} SELECT id, row_number() OVER (ORDER BY {H}, id) AS position FROM c")
 def seeded_shuffle(spark, sf):
     rows = fs.comments(spark, sf).select("id", ranking.shuffle_key(F.col("id")).alias("h"))
-    prefix = F.substring("h", 1, ranking.HASH_PREFIX)
-    ranked = ranking.bucketed_rank(rows, [], prefix, [F.col("h"), F.col("id")], rank="position")
+    ranked = ranking.global_rank(rows, [F.col("h"), F.col("id")], "position")
     return ranked.select("id", "position")
 
 
@@ -523,26 +521,35 @@ def bootstrap_ci(spark, sf):
     return metrics.bootstrap_ci(counts, CLASSES["lang"])
 
 
-_REPS = 50
+_REPS = 2000
 
 
 @query(
     "bootstrap_ci_hash",
-    f"""WITH {_PRED}, ok AS (SELECT * FROM p WHERE model = 'length' AND task = 'quality' AND y_pred IS NOT NULL),
-cc AS (SELECT y_true, y_pred, count(*) AS n FROM ok GROUP BY ALL),
-cu AS (SELECT *, sum(n) OVER (ORDER BY y_true, y_pred) - n AS lo, sum(n) OVER (ORDER BY y_true, y_pred) AS hi, sum(n) OVER () AS tot FROM cc),
-dr AS (SELECT rep, CAST(('0x' || substr(md5('{SEED}:' || rep || ':' || doc_id), 1, 15)) AS BIGINT) AS u FROM ok, (SELECT unnest(range(1, {_REPS + 1})) AS rep)),
-dn AS (SELECT rep, y_true, y_pred, count(*) AS n FROM dr, cu WHERE u % tot >= lo AND u % tot < hi GROUP BY ALL),
-fc AS (SELECT rep, class, coalesce(sum(n) FILTER (WHERE y_true = class AND y_pred = class), 0) AS tp,
+    f"""WITH {_PRED}, {_DOMAIN}, ok AS (SELECT doc_id, model, p.task, CASE WHEN y_true IN (SELECT class FROM cl WHERE cl.task = p.task) THEN y_true ELSE '(other)' END AS y_true,
+  CASE WHEN y_pred IN (SELECT class FROM cl WHERE cl.task = p.task) THEN y_pred ELSE '(other)' END AS y_pred FROM p WHERE y_pred IS NOT NULL),
+cc AS (SELECT model, task, y_true, y_pred, count(*) AS n FROM ok GROUP BY ALL),
+cu AS (SELECT *, CAST(sum(n) OVER (PARTITION BY model, task ORDER BY y_true, y_pred) AS BIGINT) AS hi, CAST(sum(n) OVER (PARTITION BY model, task) AS BIGINT) AS tot FROM cc),
+ar AS (SELECT model, task, list(hi ORDER BY y_true, y_pred) AS his, list(y_true || '|' || y_pred ORDER BY y_true, y_pred) AS names, max(tot) AS tot FROM cu GROUP BY ALL),
+dr AS (SELECT model, task, rep, CAST(('0x' || substr(md5('{SEED}:' || rep || ':' || doc_id), 1, 15)) AS BIGINT) AS u FROM ok, (SELECT unnest(range(1, {_REPS + 1})) AS rep)),
+dc AS (SELECT model, task, rep, len(list_filter(his, lambda h: h <= u % tot)) + 1 AS c, count(*) AS n FROM dr JOIN ar USING (model, task) GROUP BY ALL),
+dn AS (SELECT model, task, rep, split_part(names[c], '|', 1) AS y_true, split_part(names[c], '|', 2) AS y_pred, n FROM dc JOIN ar USING (model, task)),
+fc AS (SELECT model, dn.task, rep, class, coalesce(sum(n) FILTER (WHERE y_true = class AND y_pred = class), 0) AS tp,
   coalesce(sum(n) FILTER (WHERE y_true <> class AND y_pred = class), 0) AS fp,
-  coalesce(sum(n) FILTER (WHERE y_true = class AND y_pred <> class), 0) AS fn FROM dn, (SELECT unnest(['0', '1']) AS class) GROUP BY ALL),
-sc AS (SELECT rep, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0.0::DOUBLE END) AS m FROM fc GROUP BY 1)
-SELECT round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM sc""",
+  coalesce(sum(n) FILTER (WHERE y_true = class AND y_pred <> class), 0) AS fn FROM dn JOIN cl ON cl.task = dn.task GROUP BY ALL),
+sc AS (SELECT model, task, rep, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0.0::DOUBLE END) AS m FROM fc GROUP BY ALL)
+SELECT model, task, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM sc GROUP BY ALL""",
 )
 def bootstrap_ci_hash(spark, sf):
-    preds = predictions(spark, sf).where("model = 'length' AND task = 'quality'")
-    scores = metrics.bootstrap_scores_by_hash(preds, CLASSES["quality"], _REPS, "doc_id")
-    return metrics.percentile_interval(scores).select(F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
+    """Every model and task, 2,000 resamples."""
+    preds = stage(predictions(spark, sf), "predictions")
+    parts = [
+        metrics.percentile_interval(
+            metrics.bootstrap_scores_by_hash(preds.where(F.col("task") == t), c, _REPS, "doc_id", keys=["model", "task"]), ["model", "task"]
+        )
+        for t, c in CLASSES.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).select("model", "task", *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")])
 
 
 _CONF = "CAST(CAST(abs(doc_id * 37) % 101 AS DOUBLE) / 100 AS DOUBLE)"
@@ -633,10 +640,32 @@ def temperature_losses(spark, sf):
     return calibration.temperature_losses(rows, _GRID, ["task"]).withColumn("loss", F.round("loss", 6))
 
 
-@query("fit_temperature", f"WITH {_NLL}, a AS (SELECT t, avg(nll) AS loss FROM l GROUP BY t) SELECT 'stance' AS task, t AS temperature, round(loss, 6) AS loss FROM a ORDER BY a.loss, t LIMIT 1")
+# Three tasks; most targets are the class of the largest logit, how many of them differs by task.
+_FIT = {"spam": (2, 5, 8), "stance": (6, 3, 7), "emotion": (5, 4, 6)}
+_FIT_ROWS = " UNION ALL ".join(
+    f"SELECT '{t}' AS task, {_logits_sql(k, salt)} AS z, CASE WHEN row_no % 10 < {m} THEN list_position({_logits_sql(k, salt)}, list_max({_logits_sql(k, salt)})) ELSE row_no % {k} + 1 END AS y FROM c"
+    for t, (k, salt, m) in _FIT.items()
+)
+
+
+@query(
+    "fit_temperature",
+    f"""WITH {fs.C}, r AS ({_FIT_ROWS}), d AS (SELECT task, list_transform(z, lambda x: x - list_max(z)) AS z, z[y] - list_max(z) AS zy, count(*) AS n FROM r GROUP BY ALL),
+g AS (SELECT CAST(k AS DOUBLE) / 1000 AS t FROM (SELECT unnest(range(500, 5001)) AS k)),
+l AS (SELECT task, t, sum(n * (ln(list_sum(list_transform(z, lambda x: exp(x / t)))) - zy / t)) / sum(n) AS loss FROM d, g GROUP BY ALL)
+SELECT task, round(arg_min(t, loss), 3) AS temperature, round(min(loss), 6) AS loss FROM l GROUP BY task""",
+)
 def fit_temperature(spark, sf):
-    losses = calibration.temperature_losses(_calibration_rows(spark, sf), _GRID, ["task"])
-    return calibration.best_temperature(losses, ["task"]).withColumn("loss", F.round("loss", 6))
+    """Fitted by Newton's steps, then compared at the multiples of 0.001 on either side."""
+    c = fs.raw_comments(spark, sf)
+    parts = []
+    for t, (k, salt, m) in _FIT.items():
+        z = _logits(k, salt)
+        y = F.when(F.col("row_no") % 10 < m, F.array_position(z, F.array_max(z)) - 1).otherwise(F.col("row_no") % k)
+        parts.append(c.select(F.lit(t).alias("task"), z.alias("logits"), y.cast("int").alias("target")))
+    rows = stage(reduce(DataFrame.unionByName, parts), "calibration")
+    best = calibration.snap_temperature(rows, calibration.fit_temperature(rows))
+    return best.select("task", F.round("temperature", 3).alias("temperature"), F.round("loss", 6).alias("loss"))
 
 
 _PTS = f"{fs.C}, b AS (SELECT lang AS task, round(stance_conf, 2) AS confidence, CASE WHEN row_no % 5 < 4 AND stance_conf > 0.3 THEN 1 ELSE 0 END AS correct FROM c)"
@@ -763,25 +792,105 @@ def _keyword_model():
     return model
 
 
+_KW_LOGITS = {
+    "spam": "[1.0::DOUBLE, CASE WHEN contains(clean, 'slot') THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END]",
+    "stance": "[CAST(nz % 7 AS DOUBLE) / 2, 1.0::DOUBLE, 0.5::DOUBLE, 0.25::DOUBLE, 0.0::DOUBLE, 2.0::DOUBLE]",
+    "emotion": "[CAST((length(clean) - length(replace(clean, 'a', ''))) % 5 AS DOUBLE) / 2, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE]",
+}
+_KW_TEMPS = {"spam": 0.5, "stance": 1.5, "emotion": 1.0}
 _KW = f"""{fs.K}, lg AS (SELECT *, CASE WHEN clean = '' THEN 1 ELSE length(clean) END AS nz FROM k),
-pz AS (SELECT id, clean, emoji_only, contains(clean, 'slot') AS spam,
-  CASE WHEN CAST(nz % 7 AS DOUBLE) / 2 >= 2.0 THEN 'supports_subject' ELSE 'unclear' END AS raw_stance FROM lg)"""
+pz AS (SELECT *, {', '.join(f"{_softmax_sql(z, _KW_TEMPS[t])} AS p_{t}" for t, z in _KW_LOGITS.items())} FROM lg),
+pl AS (SELECT *, {', '.join(f"[{fs.sql_list(config.TASKS[t])}][list_position(p_{t}, list_max(p_{t}))] AS raw_{t}" for t in _KW_LOGITS)} FROM pz)"""
+_EMOJI_FELT = f"coalesce(list_filter(list_transform(string_split(emoji, ''), lambda e: {_EMOJI_MAP}[e]), lambda x: x IS NOT NULL)[1], 'neutral')"
 
 
-@query("score_corpus", f"WITH {_KW} SELECT id, spam, CASE WHEN spam OR emoji_only THEN 'unclear' ELSE raw_stance END AS stance FROM pz")
+@query(
+    "score_corpus",
+    f"""WITH {_KW} SELECT id, raw_spam = 'spam' AS spam, CASE WHEN raw_spam = 'spam' OR emoji_only THEN 'unclear' ELSE raw_stance END AS stance,
+CASE WHEN raw_spam <> 'spam' AND emoji_only THEN {_EMOJI_FELT} ELSE raw_emotion END AS emotion,
+round(list_max(p_stance), 6) AS stance_conf, round(list_max(p_emotion), 6) AS emotion_conf, list_max(p_stance) < 0.4::DOUBLE AS stance_abstain FROM pl""",
+)
 def score_corpus(spark, sf):
-    out = scoring.score_corpus(fs.enriched(spark, sf), _keyword_model, {"spam": 0.5, "stance": 1.5}, {"spam": 0.5, "stance": 0.4, "emotion": 0.4})
-    return out.select("id", "spam", "stance")
+    """All six result columns of a plugged-in model."""
+    out = scoring.score_corpus(fs.enriched(spark, sf), _keyword_model, _KW_TEMPS, {"spam": 0.5, "stance": 0.4, "emotion": 0.4})
+    return out.select("id", "spam", "stance", "emotion", F.round("stance_conf", 6).alias("stance_conf"), F.round("emotion_conf", 6).alias("emotion_conf"), "stance_abstain")
+
+
+# Three tasks over the documents, for the heads: the language, and the two labels where they are known.
+_HEAD_TASKS = {"lang": ["de", "en", "es", "fr"], "quality": ["0", "1"], "toxic": ["0", "1"]}
+
+
+def _head_rows(spark, sf) -> DataFrame:
+    labels = fs.table(spark, sf, "labels").select("doc_id", *[F.col(c).cast("string").alias(c) for c in ("quality", "toxic")])
+    docs = fs.table(spark, sf, "documents").join(labels, "doc_id", "left")
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("clean"), "lang", "quality", "toxic")
+
+
+@query(
+    "linear_heads",
+    """WITH d AS (SELECT doc_id, lang, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 2 = 0)
+SELECT 'lang' AS task, count(lang) FILTER (WHERE lang IN ('de', 'en', 'es', 'fr')) AS rows, TRUE AS optimal FROM d
+UNION ALL SELECT 'quality', count(quality), TRUE FROM d UNION ALL SELECT 'toxic', count(toxic), TRUE FROM d""",
+)
+def linear_heads(spark, sf):
+    """Three heads fitted together on half of the documents, saved and loaded. The gradient of each
+    objective at the stored coefficients, summed anew by joins, tells whether the optimum was found."""
+    rows = stage(_head_rows(spark, sf).where("id % 2 = 0"), "head-rows")
+    path = scratch_path(spark, "heads")
+    heads.fit_heads(rows, _HEAD_TASKS).save(path)
+    bound = heads.gradient_bound(heads.load(spark, path), rows)
+    return bound.select("task", F.col("rows").cast("bigint").alias("rows"), (F.col("gradient") < 1e-4).alias("optimal"))
+
+
+@query("linear_select")
+def linear_select(spark, sf):
+    """A grid of regularisation strengths for every task, fitted together; the best by macro-F1 on the
+    documents that were held out is marked."""
+    rows = stage(_head_rows(spark, sf), "head-rows")
+    model = heads.fit_heads(rows.where("id % 2 = 0"), _HEAD_TASKS, cs=[0.25, 4.0])
+    best, scores = heads.choose(model, rows.where("id % 2 = 1"))
+    chosen = F.lit(False)
+    for task, fitted in best.heads.items():
+        chosen = chosen | ((F.col("task") == task) & (F.col("c") == fitted.head.c))
+    return scores.withColumn("chosen", chosen)
+
+
+@query("score_linear")
+def score_linear(spark, sf):
+    """The default model: linear heads for spam, stance and emotion, calibrated on rows that were held out,
+    saved and loaded with what belongs to them, score every comment."""
+    rows = stage(fs.scored(spark, sf).withColumn("spam", F.when(F.col("spam"), "spam").otherwise("not_spam")), "scored")
+    fit, held = rows.where("row_no % 3 = 0"), rows.where("row_no % 3 = 1")
+    model = heads.fit_heads(fit, config.TASKS, cs=[1.0]).only({t: f"{t}@1" for t in config.TASKS})
+    logits = model.logits(held).join(held.select("id", *[F.col(t).alias(f"y_{t}") for t in config.TASKS]), "id")
+    parts = [
+        logits.select(F.lit(t).alias("task"), F.col(t).alias("logits"), sc.class_index(F.col(f"y_{t}"), c).alias("target"))
+        for t, c in config.TASKS.items()
+    ]
+    held_rows = stage(reduce(DataFrame.unionByName, parts), "held")
+    temperatures = calibration.fit_temperature(held_rows)
+    by_task = F.lit(1.0)
+    for task, value in temperatures.items():
+        by_task = F.when(F.col("task") == task, F.lit(value)).otherwise(by_task)
+    cuts = calibration.abstain_threshold(calibration.calibrated(held_rows, by_task), ["task"])
+    thresholds = {r.task: r.threshold for r in cuts.collect()}
+    fingerprint = split.dataset_fingerprint(fit).first()[0]
+    model.meta = {"temperature": temperatures, "threshold": thresholds, "fingerprint": fingerprint}
+    path = scratch_path(spark, "model")
+    model.save(path)
+    out = scoring.score_with_heads(rows.drop("spam", "stance", "emotion", "stance_conf", "emotion_conf", "stance_abstain"), heads.load(spark, path))
+    return out.select("id", "spam", "stance", "emotion", "stance_conf", "emotion_conf", "stance_abstain")
 
 
 @query(
     "annotate_corpus",
     f"""WITH {fs.K}, a AS (SELECT *, regexp_matches(lower(clean), '{fs.SPAM_RX}') AS spam FROM k)
-SELECT id, CAST(spam AS INTEGER) AS spam, 'unclear' AS stance FROM a""",
+SELECT id, CAST(spam AS INTEGER) AS spam, 'unclear' AS stance, CASE WHEN spam THEN 'neutral' ELSE
+  coalesce(list_filter(list_transform(string_split(clean, ''), lambda e: {_EMOJI_MAP}[e]), lambda x: x IS NOT NULL)[1], 'neutral') END AS emotion FROM a""",
 )
 def annotate_corpus(spark, sf):
     work = fs.enriched(spark, sf).select("id", "cluster", "phase", "likes", "clean")
-    return annotate.labelled(annotate.annotate(work)).select("id", "spam", "stance")
+    return annotate.labelled(annotate.annotate(work)).select("id", "spam", "stance", "emotion")
 
 
 def _flaky_completion():

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from discursa.functions import annotation as an
@@ -93,3 +94,22 @@ def test_scoring_replaces_blank_text_and_applies_rules(spark):
     }
     conf = out.where("id = 'c'").collect()[0]
     assert abs(conf.stance_conf - 2.718281828 ** 1.5 / (2.718281828 ** 1.5 + 5)) < 1e-6 and conf.stance_abstain
+
+
+def test_faults_of_the_program_end_the_job(spark):
+    from pyspark.sql import functions as F
+
+    from discursa.operators import annotate
+
+    def failing(error):
+        def make():
+            def ask(messages):
+                raise error
+            return ask
+        return make
+
+    df = spark.range(3).select(F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content"))).alias("p"))
+    for error in (TimeoutError(), ConnectionResetError(), KeyError("choices")):
+        assert {r[0] for r in df.select(annotate.complete(F.col("p"), failing(error))).collect()} == {None}
+    with pytest.raises(Exception, match="ZeroDivisionError|PythonException|PYTHON"):
+        df.select(annotate.complete(F.col("p"), failing(ZeroDivisionError()))).collect()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from discursa import config
 from discursa.functions import lexicon as lx
 from discursa.functions import text as tx
-from discursa.operators import dedup
+from discursa.session import stage
 
 TOP_ENGAGED = 1000
 
@@ -194,26 +194,39 @@ def enrich(comments: DataFrame) -> DataFrame:
     )
 
 
-def profile(enriched: DataFrame) -> DataFrame:
-    """One row of totals. Exact distinct counts; clusters are counted from their sizes."""
-    clusters = dedup.cluster_sizes(enriched).agg(
-        F.count(F.lit(1)).alias("clusters"),
-        F.coalesce(F.sum(F.when(F.col("cluster_size") > 1, F.col("cluster_size"))), F.lit(0)).alias(
-            "rows_in_multi"
-        ),
+def profile_columns(enriched: DataFrame) -> DataFrame:
+    """What a profile needs of every row, staged: the texts are read and folded once."""
+    narrow = enriched.select(
+        "post", "phase", "cluster", "username", "emoji_only", (F.col("n_chars") == 0).alias("empty_text")
     )
-    totals = enriched.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("emoji_only").alias("emoji_only"),
-        F.count_if(F.col("n_chars") == 0).alias("empty_text"),
+    return stage(narrow, "profile")
+
+
+def profile_of(narrow: DataFrame) -> DataFrame:
+    """One row of totals. Exact distinct counts; rows and flags are added up from one row per cluster."""
+    clusters = narrow.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("emoji_only").alias("e"), F.count_if("empty_text").alias("t")
     )
-    users = enriched.select("username").distinct().agg(F.count("username").alias("users"))
-    return one_row(totals, users, clusters)
+    totals = clusters.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum("e"), F.lit(0)).alias("emoji_only"),
+        F.coalesce(F.sum("t"), F.lit(0)).alias("empty_text"),
+        F.count(F.lit(1)).alias("clusters"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_in_multi"),
+    )
+    users = narrow.select("username").distinct().agg(F.count("username").alias("users"))
+    return one_row(totals, users)
+
+
+def profile(enriched: DataFrame) -> DataFrame:
+    """One row of totals of a comment table."""
+    return profile_of(profile_columns(enriched)).select("total", "emoji_only", "empty_text", "users", "clusters", "rows_in_multi")
 
 
 def profile_json(enriched: DataFrame, checksums: DataFrame | None = None) -> DataFrame:
     """The profile as one JSON document with maps per post and per phase."""
-    counts = value_counts(enriched, ["post", "phase"])
+    narrow = profile_columns(enriched)
+    counts = value_counts(narrow, ["post", "phase"])
     maps = counts.groupBy("dimension").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("m")
     )
@@ -221,7 +234,7 @@ def profile_json(enriched: DataFrame, checksums: DataFrame | None = None) -> Dat
         F.max_by("m", F.when(F.col("dimension") == "post", 1)).alias("per_post"),
         F.max_by("m", F.when(F.col("dimension") == "phase", 1)).alias("per_phase"),
     )
-    parts = [profile(enriched), per]
+    parts = [profile_of(narrow), per]
     if checksums is not None:
         entries = F.array_sort(F.collect_list(F.struct("file", "sha256")))
         parts.append(checksums.agg(F.map_from_entries(entries).alias("sha256")))

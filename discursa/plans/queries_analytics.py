@@ -12,7 +12,7 @@ from discursa.functions import fields as fx
 from discursa.functions import lexicon as lx
 from discursa.functions import scores as sc
 from discursa.operators import (
-    annotate, calibration, dedup, features, filters, findings, heads, linear, metrics, ranking, release,
+    annotate, calibration, dedup, documents, features, filters, findings, heads, linear, metrics, ranking, release,
     sampling, scoring, split, terms,
 )
 from discursa.operators.annotate import offline_completion
@@ -344,13 +344,13 @@ def _is_gold():
 @query("anti_leak", f"WITH {fs.K} SELECT id, cluster FROM k WHERE cluster NOT IN (SELECT cluster FROM k WHERE is_reply)")
 def anti_leak(spark, sf):
     k = fs.enriched(spark, sf).select("id", "cluster", "is_reply")
-    return k.join(k.where("is_reply").select("cluster").distinct(), "cluster", "left_anti").select("id", "cluster")
+    return split.without_clusters_of(k, F.col("is_reply")).select("id", "cluster")
 
 
 @query("leak_check", f"WITH {fs.K} SELECT DISTINCT cluster FROM k WHERE is_reply AND cluster IN (SELECT cluster FROM k WHERE NOT is_reply)")
 def leak_check(spark, sf):
     k = fs.enriched(spark, sf).select("cluster", "is_reply")
-    return split.leaked_clusters(k.where("is_reply"), k.where("NOT is_reply"))
+    return split.clusters_on_both_sides(k, F.col("is_reply"))
 
 
 @query("residual_sample", f"WITH {fs.C}, t AS (SELECT id FROM c ORDER BY likes DESC, post, row_no LIMIT 30) SELECT id FROM c WHERE id NOT IN (SELECT id FROM t)")
@@ -394,8 +394,8 @@ SELECT id, cluster, phase, stance, CAST(spam AS INTEGER) AS spam, 'gold' AS sour
 UNION ALL SELECT id, cluster, phase, stance, CAST(spam AS INTEGER), 'silver', 'train' FROM s WHERE NOT ({_GOLD_BY_ID})""",
 )
 def assemble_sets(spark, sf):
-    rows = fs.scored(spark, sf).withColumn("spam", F.col("spam").cast("int"))
-    out = split.assemble_sets(rows.where(_is_gold()), rows.where(~_is_gold()))
+    rows = fs.scored(spark, sf).select("id", "cluster", "post", "row_no", "phase", "stance", F.col("spam").cast("int").alias("spam"))
+    out = split.assemble(rows, _is_gold())
     return out.select("id", "cluster", "phase", "stance", "spam", "source", "split")
 
 
@@ -713,6 +713,83 @@ def calibration_error(spark, sf):
     return calibration.expected_calibration_error(r, ["task"]).withColumn("ece", F.round("ece", 6))
 
 
+# ---- documents -----------------------------------------------------------------------------
+
+
+def _read_back(spark, entries: DataFrame, name: str) -> DataFrame:
+    """The document as written: a row for every line that holds an entry (section, key, value)."""
+    path = scratch_path(spark, name)
+    documents.write_document(entries, path)
+    text = spark.read.text(path, wholetext=True)
+    sections = F.from_json("value", "map<string,map<string,variant>>")
+    each = text.select(F.explode(sections).alias("section", "entries")).select("section", F.explode("entries").alias("key", "v"))
+    return each.select("section", "key", F.to_json("v").alias("value"))
+
+
+def _number(path: str, kind: str, name: str):
+    return F.get_json_object("value", path).cast(kind).alias(name)
+
+
+@query(
+    "findings_document",
+    f"""WITH {_TOPIC}, sp AS (SELECT count(*) AS total, count(*) FILTER (WHERE spam) AS n FROM s), tn AS (SELECT count(*) AS t FROM ns),
+tc AS (SELECT topic, stance, count(*) AS n FROM tp GROUP BY ALL), ml AS (SELECT stance FROM ns ORDER BY likes DESC, post, row_no LIMIT 1000)
+SELECT 'spam' AS section, 'all' AS key, n, {pct('n', 'total')} AS pct, NULL AS dominant FROM sp
+UNION ALL SELECT 'stance', stance, count(*), {pct('count(*)', '(SELECT t FROM tn)')}, NULL FROM ns GROUP BY stance
+UNION ALL SELECT 'emotion', emotion, count(*), {pct('count(*)', '(SELECT t FROM tn)')}, NULL FROM ns GROUP BY emotion
+UNION ALL SELECT 'phase', phase, count(*), NULL, NULL FROM ns GROUP BY phase
+UNION ALL SELECT 'targets', t, (SELECT count(*) FROM ns WHERE stance = t), NULL, NULL FROM (SELECT unnest([{fs.sql_list(STANCE_4)}]) AS t)
+UNION ALL SELECT 'most_liked', stance, count(*), {pct('count(*)', '(SELECT count(*) FROM ml)')}, NULL FROM ml GROUP BY stance
+UNION ALL SELECT 'topics', topic, CAST(sum(n) AS BIGINT), NULL, arg_min(stance, struct_pack(m := -n, s := stance)) FROM tc GROUP BY topic
+UNION ALL SELECT 'examples', stance, NULL, NULL, NULL FROM ns WHERE stance IN ({fs.sql_list(STANCE_4[:2])}) GROUP BY stance""",
+)
+def findings_document(spark, sf):
+    rows = fs.scored(spark, sf).select("id", "post", "row_no", "phase", "likes", "clean", "stance", "emotion", "spam")
+    doc = documents.findings_document(stage(rows, "scored"), STANCE_4, STANCE_4[:2])
+    return _read_back(spark, doc, "findings").select(
+        "section", "key", _number("$.n", "bigint", "n"), _number("$.pct", "double", "pct"), _number("$.dominant", "string", "dominant")
+    )
+
+
+@query(
+    "evaluation_document",
+    f"""WITH {_EVAL} SELECT 'scores' AS section, model || '/' || task AS key, round(macro_f1, 6) AS score, n FROM ev
+UNION ALL SELECT 'classes', model || '/' || task || '/' || class, round(f1, 6), support FROM f1
+UNION ALL SELECT 'confusion', mt.model || '/' || mt.task || '/' || class, NULL, NULL FROM mt JOIN cl USING (task)""",
+)
+def evaluation_document(spark, sf):
+    doc = documents.evaluation_document(stage(predictions(spark, sf), "predictions"), CLASSES)
+    back = _read_back(spark, doc, "evaluation")
+    score = F.coalesce(*[F.get_json_object("value", p).cast("double") for p in ("$.macro_f1", "$.f1")])
+    n = F.coalesce(*[F.get_json_object("value", p).cast("bigint") for p in ("$.n", "$.support")])
+    return back.select("section", "key", F.round(score, 6).alias("score"), n.alias("n"))
+
+
+@query(
+    "manifest_document",
+    """SELECT 'about' AS section, 'licence' AS key, NULL AS n_rows UNION ALL SELECT 'layers', 'comments_clean', count(*) FROM documents
+UNION ALL SELECT 'layers', 'labels', count(*) FROM labels UNION ALL SELECT 'raw', event_type || '.csv', count(*) FROM events GROUP BY event_type""",
+)
+def manifest_document(spark, sf):
+    layers = {"comments_clean": fs.comments(spark, sf), "labels": fs.table(spark, sf, "labels")}
+    raw = fs.table(spark, sf, "events").select(F.concat("event_type", F.lit(".csv")).alias("file"))
+    doc = documents.manifest_document({"licence": "CC BY 4.0"}, layers, raw)
+    return _read_back(spark, doc, "manifest").select("section", "key", _number("$.rows", "bigint", "n_rows"))
+
+
+@query(
+    "profile_document",
+    f"""WITH {fs.K}, z AS (SELECT cluster, count(*) AS n FROM k GROUP BY 1)
+SELECT 'per_post' AS section, post AS key, count(*) AS n FROM k GROUP BY post UNION ALL SELECT 'per_phase', phase, count(*) FROM k GROUP BY phase
+UNION ALL SELECT 'totals', 'total', count(*) FROM k UNION ALL SELECT 'totals', 'emoji_only', count(*) FILTER (WHERE emoji_only) FROM k
+UNION ALL SELECT 'totals', 'empty_text', count(*) FILTER (WHERE n_chars = 0) FROM k UNION ALL SELECT 'totals', 'users', count(DISTINCT username) FROM k
+UNION ALL SELECT 'totals', 'clusters', count(*) FROM z UNION ALL SELECT 'totals', 'rows_in_multi', CAST(coalesce(sum(n), 0) AS BIGINT) FROM z WHERE n > 1""",
+)
+def profile_document(spark, sf):
+    doc = documents.profile_document(fs.enriched(spark, sf))
+    return _read_back(spark, doc, "profile").select("section", "key", F.col("value").cast("bigint").alias("n"))
+
+
 # ---- privacy graph ---------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from discursa.functions import text as tx
 from discursa.operators import annotate, dedup, filters, findings, ranking, release, split
 from discursa.plans import fixtures as fs
 from discursa.plans.registry import query
-from discursa.session import scratch_path
+from discursa.session import scratch_path, stage
 from discursa.sources import ragged_csv as rc
 
 # ---- raw records synthesised from events --------------------------------------
@@ -95,6 +95,27 @@ def quality_gate(spark, sf):
     )
 
 
+@query(
+    "gate_trips",
+    f"""SELECT event_type || '.csv' AS file, count(*) FILTER (WHERE event_id % 10 IN (1, 2, 4, 6)) AS n_rejected,
+  count(*) FILTER (WHERE event_id % 10 IN (1, 2, 4, 6)) > 0 AS tripped, FALSE AS tripped_by_good_records FROM events GROUP BY ALL""",
+)
+def gate_trips(spark, sf):
+    """The gate called on every file's rejected records, and on those of its good records, of which there
+    are none. What it raises tells how many there were."""
+    parsed = stage(rc.parse_records(_records(spark, sf)), "parsed")
+    every = parsed.select("file").distinct()
+    held = rc.gate_by_file(every, rc.quarantine(parsed))
+    good = rc.gate_by_file(every, rc.quarantine(parsed.where("ok"))).select("file", F.col("tripped").alias("tripped_by_good_records"))
+    try:
+        rc.quality_gate(rc.quarantine(parsed))
+        raised = 0
+    except rc.QualityGateError as error:
+        raised = error.rejected
+    total = held.agg(F.sum("n_rejected")).scalar()
+    return held.join(good, "file").where(F.lit(raised) == total)
+
+
 @query(
     "ingest_folder",
     f"""SELECT event_type AS post, 'user' || user_id AS username,

@@ -299,16 +299,26 @@ def read_comments(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM)
 
 
 class QualityGateError(ValueError):
-    pass
+    """rejected: how many records were not understood."""
+
+    def __init__(self, message: str, rejected: int = 0):
+        super().__init__(message)
+        self.rejected = rejected
 
 
 def quality_gate(rejected: DataFrame, examples: int = 5) -> None:
     """Fail fast when any record was quarantined, showing a few of them."""
     shown = rejected.limit(examples).collect()
     if shown:
-        raise QualityGateError(
-            f"{rejected.count()} records not understood, e.g. {[tuple(r) for r in shown]}"
-        )
+        n = rejected.count()
+        raise QualityGateError(f"{n} records not understood, e.g. {[tuple(r) for r in shown]}", n)
+
+
+def gate_by_file(files: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(file, n_rejected, tripped) of every file: which of them the gate holds back, without ending the job."""
+    counts = rejected.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    return files.join(counts, "file", "left").select("file", n.alias("n_rejected"), (n > 0).alias("tripped"))
 
 
 def file_checksums(spark: SparkSession, paths) -> DataFrame:

@@ -1028,6 +1028,20 @@ def stream_throughput(spark, sf):
     return out.select(F.date_format(F.col("start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+@query(
+    "stream_live",
+    """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, 0::BIGINT AS n_late FROM
+(SELECT unnest([time_bucket(INTERVAL 30 MINUTES, ts), time_bucket(INTERVAL 30 MINUTES, ts) - INTERVAL 30 MINUTES]) AS w FROM events WHERE ts IS NOT NULL) GROUP BY 1""",
+)
+def stream_live(spark, sf):
+    """Sliding windows of an hour, counted live; the table comes in one micro-batch, so nothing is late."""
+    events = _event_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("t"))
+    windows, late = progress.run_live(events, "live", width="1 hour", slide="30 minutes", lateness="1 hour")
+    both = windows.withColumn("l", F.lit(0)).unionByName(late.select("start", "end", F.lit(0).alias("n"), F.col("n").alias("l")))
+    total = both.groupBy("start").agg(F.sum("n").alias("n"), F.sum("l").alias("n_late"))
+    return total.select(F.date_format(F.col("start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "n_late")
+
+
 @query(
     "throughput_recent",
     """WITH m AS (SELECT TIMESTAMP '2024-01-15 12:00:00' AS now)

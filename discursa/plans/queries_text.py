@@ -209,7 +209,7 @@ def report_json(spark, sf):
 
 @query("file_checksums")
 def file_checksums(spark, sf):
-    return rc.file_checksums(spark, f"{sf}/*.parquet")
+    return rc.file_checksums(spark, f"{sf}/*.parquet", root=sf)
 
 
 @query(

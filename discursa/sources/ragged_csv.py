@@ -13,8 +13,10 @@ lines is read on its own, so that rows behind the quote are kept and the rest is
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+import urllib.parse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -321,13 +323,41 @@ def gate_by_file(files: DataFrame, rejected: DataFrame) -> DataFrame:
     return files.join(counts, "file", "left").select("file", n.alias("n_rejected"), (n > 0).alias("tripped"))
 
 
-def file_checksums(spark: SparkSession, paths) -> DataFrame:
-    """SHA-256 per input file (binary files are hashed inside the tasks that read them)."""
-    readers = [
-        spark.read.format("binaryFile").load(p)
-        for p in ([paths] if isinstance(paths, str) else list(paths))
-    ]
-    return reduce(DataFrame.unionByName, readers).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+# Schemes that tasks read themselves, in pieces; files of others come whole through Spark's reader.
+PIECEWISE = ("file", "hdfs", "s3", "s3a", "gs")
+PIECE = 8 << 20
+
+
+def _hashed(batches):
+    """(path) to (path, sha256): each file is read in pieces and hashed on the way."""
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for path in batch.column("path").to_pylist():
+            scheme, _, rest = path.partition(":")
+            uri = f"{'s3' if scheme == 's3a' else scheme}:{rest if rest.startswith('//') else '//' + rest}"
+            system, name = fs.FileSystem.from_uri(urllib.parse.quote(uri, safe=":/@"))
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as source:
+                while piece := source.read(PIECE):
+                    digest.update(piece)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["path", "sha256"])
+
+
+def file_checksums(spark: SparkSession, paths, root: str | None = None) -> DataFrame:
+    """(file, sha256) per input file. file is the path below `root`, without it the file's own name.
+
+    Tasks read files in pieces of constant size, whatever their length; a task has one file at a time. On
+    file systems that only Spark reads a file comes whole in one row, of 2 GB at most.
+    """
+    loaded = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
+    scheme = F.substring_index("path", ":", 1)
+    pieces = loaded.where(scheme.isin(*PIECEWISE)).select("path").mapInArrow(_hashed, "path string, sha256 string")
+    whole = loaded.where(~scheme.isin(*PIECEWISE)).select("path", F.sha2("content", 256).alias("sha256"))
+    name = F.element_at(F.split("path", "/"), -1)
+    if root is not None:
+        inside = root.partition(":")[2].lstrip("/") if ":" in root else root.strip("/")
+        name = F.substring_index("path", f"{inside.rstrip('/')}/", -1)
+    return pieces.union(whole).select(name.alias("file"), "sha256")

@@ -126,6 +126,42 @@ def run_counting(
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def run_live(
+    stream: DataFrame, name: str, time: str = "t", width: str = "10 seconds", slide: str | None = None,
+    lateness: str = "1 minute",
+) -> tuple[DataFrame, DataFrame]:
+    """(windows, late) of what a stream holds now, counted live: windows (start, end, n) and late (start,
+    end, n), the rows that came after their window was closed.
+
+    A window is closed for a micro-batch when its end lies `lateness` or more behind the newest event of
+    the batches before. What a batch counts goes to its own folder, with its newest event; the next ones
+    read only these numbers, so state is a row per window and batch, and a batch that is repeated
+    after a failure counts the same again. In every window windows.n + late.n is the number of its rows.
+    """
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state")
+    schema = "start timestamp, end timestamp, n bigint, late boolean, newest timestamp"
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")  # a stream without data has no batches
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.schema(f"{schema}, batch bigint").parquet(out).where(F.col("batch") < batch_id)
+        closed = before.agg((F.max("newest") - F.expr(f"INTERVAL {lateness}")).alias("closed"))
+        # the newest event is the same in every row of a batch: a window over its few counted windows
+        counted = window_counts(batch, time, width, slide).withColumn("one", F.lit(1))
+        newest = batch.agg(F.max(time).alias("newest"), F.lit(1).alias("one"))
+        rows = counted.join(newest, "one").join(closed.withColumn("one", F.lit(1)), "one")
+        late = F.coalesce(F.col("end") <= F.col("closed"), F.lit(False)).alias("late")
+        rows.select("start", "end", "n", late, "newest").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True)
+        .foreachBatch(write).start()
+    )
+    query.awaitTermination()
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(out).groupBy("start", "end", "late").agg(F.sum("n").alias("n"))
+    return rows.where("NOT late").drop("late"), rows.where("late").drop("late")
+
+
 def run_available(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Drain a stream with update semantics and return its final rows: the newest per key."""
     rows = _drain(stream, name, lambda batch: batch, "update")

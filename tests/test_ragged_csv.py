@@ -132,3 +132,17 @@ def test_checksums(spark, folder):
 
     got = {r.file: r.sha256 for r in rc.file_checksums(spark, folder).collect()}
     assert got == {"A.csv": hashlib.sha256(A.encode()).hexdigest(), "B.csv": hashlib.sha256(B.encode()).hexdigest()}
+
+
+def test_checksums_of_folders_and_large_files(spark, tmp_path):
+    import hashlib
+
+    content = {"a/x y.csv": b"1", "b/x y.csv": b"2", "b/%41#.bin": b"3", "b/large": bytes(range(256)) * 70_000}
+    for name, data in content.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = rc.file_checksums(spark, [str(tmp_path / "a"), str(tmp_path / "b")], root=str(tmp_path)).collect()
+    assert len(got) == 4
+    names = {r.file: r.sha256 for r in got}
+    want = {k: hashlib.sha256(v).hexdigest() for k, v in content.items()}
+    assert names == want

@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from discursa.streaming import progress
@@ -56,3 +58,23 @@ def test_observed_counts(spark):
     df.observe(obs, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
     assert obs.get["rows"] == 10
     assert progress.observed(df, "q", F.col("id") > 5).count() == 10
+
+
+def test_late_rows_are_counted_apart(spark, tmp_path):
+    """Batches a minute apart, then an old one: what is later than a minute behind is late, nothing is lost."""
+    batches = [["10:00:01", "10:00:04"], ["10:00:03", "10:02:00"], ["10:00:05", "10:01:30"], ["10:05:00"], ["10:01:30", "10:04:30", "10:00:00"]]
+    for k, times in enumerate(batches):
+        lines = [f'[x] 2026/07/11 - {t} | POST "/"' for t in times]
+        (tmp_path / f"{k}.log").write_text("\n".join(lines) + "\n")
+        os.utime(tmp_path / f"{k}.log", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = progress.parse_requests(spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path)))
+    windows, late = (sorted((f"{r.start:%H:%M:%S}", r.n) for r in x.collect()) for x in progress.run_live(stream, "late"))
+    assert late == [("10:00:00", 2), ("10:01:30", 1)]
+    assert windows == [("10:00:00", 3), ("10:01:30", 1), ("10:02:00", 1), ("10:04:30", 1), ("10:05:00", 1)]
+    every = progress.window_counts(progress.parse_requests(spark.read.text(str(tmp_path)))).agg(F.sum("n")).first()[0]
+    assert sum(n for _, n in windows + late) == every == 10
+
+
+def test_live_stream_without_data(spark, tmp_path):
+    windows, late = progress.run_live(progress.parse_requests(progress.stream_lines(spark, str(tmp_path))), "none")
+    assert windows.count() == late.count() == 0

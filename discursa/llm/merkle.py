@@ -2,12 +2,14 @@
 
 Leaves are runs of up to PIECE_WORDS words of a paragraph (a line), nodes above are paragraphs, then
 sections, which end after a paragraph whose digest is a multiple of SECTION, so an edit moves no
-boundary behind it. The root digests the section digests. Leaves cover every code point, so equal
-roots mean equal texts. A fingerprint prints as
+boundary behind it. The root digests the section digests. Leaves cover every code point and every node
+is built from whole 128-bit digests of the nodes below it, so equal roots or sections mean equal texts or
+sections. A fingerprint prints as
 
     root|section:leaves,leaves;section:leaves
 
-with the leaves of a paragraph joined, LEAF hex digits each.
+with roots and sections whole and the leaves of a paragraph joined, cut to LEAF hex digits each: they only
+tell which pieces of two differing sections are alike.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from discursa.llm.tables import parts
 
 PIECE_WORDS = 8
 SECTION = 4
+DIGEST = 16  # bytes
 LEAF = 10
 PIECES = re.compile(r"\s+|(?:\S+[^\S\n]*){1,%d}\n*" % PIECE_WORDS)
 
 
-def _digest(data: bytes, size: int = LEAF // 2) -> bytes:
-    return hashlib.blake2b(data, digest_size=size).digest()
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
 def fingerprint(text: str) -> str:
@@ -39,14 +42,13 @@ def fingerprint(text: str) -> str:
 
     def end_paragraph():
         if leaves:
-            joined = b"".join(leaves)
-            nodes.append(_digest(joined))
-            paragraphs.append(joined.hex())
+            nodes.append(_digest(b"".join(leaves)))
+            paragraphs.append("".join([x[: LEAF // 2].hex() for x in leaves]))
             leaves.clear()
 
     def end_section():
         if nodes:
-            node = _digest(b"".join(nodes) + bytes([len(nodes) % 256]))
+            node = _digest(b"".join(nodes))
             sections.append((node, ",".join(paragraphs)))
             nodes.clear()
             paragraphs.clear()
@@ -60,7 +62,7 @@ def fingerprint(text: str) -> str:
                 end_section()
     end_paragraph()
     end_section()
-    root = hashlib.blake2b(b"".join(n for n, _ in sections), digest_size=16).hexdigest()
+    root = _digest(b"".join(n for n, _ in sections)).hex()
     return root + "|" + ";".join(f"{n.hex()}:{p}" for n, p in sections)
 
 

@@ -38,3 +38,14 @@ def test_tree():
     assert len(merkle.differing(a, b)) == 1 and merkle.likeness(a, b) > 0.98 and merkle.likeness(a, merkle.fingerprint("z")) == 0
     assert merkle.differing(a, a) == [] and merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("")) == 1
     assert merkle.fingerprint("a b") != merkle.fingerprint("a  b")
+
+
+def test_nodes_hold_whole_digests(monkeypatch):
+    """Texts whose leaves agree in all printed digits still differ in sections and root."""
+    plain = merkle._digest
+    same_front = lambda data: b"\0" * (merkle.LEAF // 2) + plain(data)[merkle.LEAF // 2 :]
+    monkeypatch.setattr(merkle, "_digest", same_front)
+    a, b = merkle.fingerprint("one line"), merkle.fingerprint("another line")
+    assert merkle.branches(a)[0][1] == merkle.branches(b)[0][1]
+    assert a.split("|")[0] != b.split("|")[0] and merkle.branches(a)[0][0] != merkle.branches(b)[0][0]
+    assert len(a.split("|")[0]) == len(merkle.branches(a)[0][0]) == 32

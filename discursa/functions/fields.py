@@ -74,4 +74,6 @@ def record_post(id_: Column) -> Column:
 
 
 def record_number(id_: Column) -> Column:
-    return F.split_part(id_, F.lit("#"), F.lit(2)).try_cast("bigint")
+    """Number in post#number or post#number.part."""
+    number = F.split_part(id_, F.lit("#"), F.lit(2))
+    return F.regexp_replace(number, r"^(\d+)\.\d+$", "$1").try_cast("bigint")

@@ -138,6 +138,29 @@ def ingest_folder(spark, sf):
     return good.select("post", "username", _ts_text(), "likes", "text")
 
 
+@query(
+    "ingest_stray_quotes",
+    f"""SELECT event_type AS post, 'user' || user_id AS username,
+  strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS ts, event_id % 50 AS likes,
+  CASE WHEN event_id % 100 IN (40, 43) THEN 'cut off, ' || event_id WHEN event_id % 30 = 7 THEN 'quoted, ' || event_id
+  ELSE 'plain ' || event_id END AS text FROM events""",
+)
+def ingest_stray_quotes(spark, sf):
+    """Files with many quotes that are never closed: quoted rows, or other stray quotes, close them. Every row is found."""
+    line = (
+        f"{_USER} || ',' || {_DAY} || ', ' || {_CLOCK} || ',' || {_LIKES} || ',' || "
+        "CASE WHEN event_id % 100 IN (40, 43) THEN '\"cut off, ' || event_id WHEN event_id % 30 = 7 THEN '\"quoted, ' || event_id || '\"' "
+        "ELSE 'plain ' || event_id END"
+    )
+    rows = fs.table(spark, sf, "events").select(
+        F.col("event_type").alias("post"), F.col("event_id").alias("record_no"), F.expr(line).alias("value")
+    )
+    path = scratch_path(spark, "stray-exports")
+    release.write_lines(rows, HEADER, path)
+    good, _ = rc.read_comments(spark, f"{path}/*/*/*.txt", r"post=([^/]+)/")
+    return good.select("post", "username", _ts_text(), "likes", "text")
+
+
 @query(
     "record_id",
     """SELECT event_type || '#' || (row_number() OVER (PARTITION BY event_type ORDER BY event_id) + 1) AS id,

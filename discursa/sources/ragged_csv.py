@@ -9,6 +9,9 @@ sees more than one split; records keep exact numbers, blank ones included.
 
 A record that is still open at the end of its file (a stray quote) is not a record: each of its
 lines is read on its own, so that rows behind the quote are kept and the rest is quarantined.
+
+A stray quote that a later quote happens to close swallows the rows between. Such a stretch can be one record
+or rows of their own; `swallowed` weighs both by what lines tell, without putting the stretch together.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ _STAYS = r'^[^"]*+(?:""[^"]*+)*+$'
 _REOPENS = rf'^[^"]*+(?:""[^"]*+)*+"[^",][^,]*+,(?:{_CLOSED})*+{_QUOTED_TAIL}$'
 _REOPENS_AT_COMMA = rf'^[^"]*+(?:""[^"]*+)*+",(?:{_CLOSED})*+{_QUOTED_TAIL}$'
 
+# A line entered inside a quoted field that closes it by a quote no writer puts there: text goes on behind it.
+_BAD_CLOSE = r'^[^"]*+(?:""[^"]*+)*+"[^",\r]'
+
 POST_FROM_STEM = r"([^/]+?)(?:\.csv)?$"
 SLICE = r"/post=([^/]*)/first_record=(\d+)/[^/]*$"
 HEADER_FACTS = ["n_header", "threaded"]
@@ -153,7 +159,7 @@ def _with_state(lines: DataFrame) -> DataFrame:
         .withColumn("past", F.col("line_offset") + F.col("row") - F.col("tail_from"))
         .withColumn("in_tail", F.coalesce(F.col("past") >= 0, F.lit(False)))
         .select(
-            "file", "block", "pos", "line",
+            "file", "block", "pos", "line", (F.col("line_offset") + F.col("row")).alias("line_no"),
             (F.col("outside") | F.col("in_tail")).alias("outside"),
             (F.col("open_after") & ~F.col("in_tail")).alias("open_after"),
             F.when(F.col("in_tail"), F.col("tail_rec") + F.col("past")).otherwise(F.col("rec_no")).alias("rec_no"),
@@ -173,20 +179,61 @@ def _post(path: Column, pattern: str) -> Column:
     return F.when(path.rlike(SLICE), named).otherwise(F.regexp_extract(path, pattern, 1))
 
 
-def read_records(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM) -> DataFrame:
-    """Records of a file, folder or glob: file, post, record_no, fields, n_header, threaded.
+def record_shape(f: Column) -> Column:
+    """1: the time stamp is split in two fields; 2: it is one field with a comma; NULL: neither.
+
+    Reads the header facts of the row."""
+    off = F.when(F.col("threaded"), 2).otherwise(0)
+
+    def at(i: int) -> Column:
+        return F.try_element_at(f, (off + F.lit(i + 1)).cast("int"))
+
+    split_ts = (F.size(f) == F.col("n_header") + 1) & strip(at(1)).rlike(fx.DATE_SHAPE) & at(2).rlike(fx.CLOCK_SHAPE)
+    quoted_ts = (F.size(f) == F.col("n_header")) & at(1).contains(",")
+    return F.when(split_ts, 1).when(quoted_ts, 2)
+
+
+def swallowed(multi: DataFrame) -> DataFrame:
+    """(file, rec_no, first_line) of records of several lines that are rows of their own behind a stray quote.
+
+    Two signs must agree: a field is closed by a quote with text behind it, and a line after the first is
+    by itself a record with a split time stamp. A comment that quotes such a row but is closed as it should be stays
+    one comment. Both are combined before the shuffle, so a stretch may be as long as its file.
+    """
+    alone = record_shape(fx.split_record(F.rtrim("line", F.lit("\r")))) == 1
+    signs = multi.groupBy("file", "rec_no").agg(
+        F.bool_or(~F.col("outside") & F.col("line").rlike(_BAD_CLOSE)).alias("bad_close"),
+        F.bool_or(~F.col("outside") & alone).alias("rows"),
+        F.min("line_no").alias("first_line"),
+    )
+    return signs.where(F.col("bad_close") & F.col("rows")).select("file", "rec_no", "first_line")
+
+
+def read_records(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM, resync: bool = False) -> DataFrame:
+    """Records of a file, folder or glob: file, post, record_no, part, fields, n_header, threaded.
 
     Files under post=.../first_record=N/ (see operators.release.write_lines) belong to that post, and
     their first record has number N.
+
+    With resync the lines of a swallowed stretch are records, numbered by part within the number of the stretch;
+    part is 0 for its first line and for all other records, whose numbers stay as they are. A comment that begins
+    in the last line of a stretch and spans lines keeps its first one.
     """
     lines = _with_state(_lines(spark, path))
     whole = F.col("outside") & ~F.col("open_after")
-    single = lines.where(whole).select(
-        "file", "rec_no", *HEADER_FACTS, F.rtrim("line", F.lit("\r")).alias("record")
-    )
-    multi = (
-        lines.where(~whole)
-        .groupBy("file", "rec_no")
+    no_part = F.lit(0).cast("bigint").alias("part")
+    record = F.rtrim("line", F.lit("\r")).alias("record")
+    records = lines.where(whole).select("file", "rec_no", no_part, *HEADER_FACTS, record)
+    multi = lines.where(~whole)
+    if resync:
+        marked = multi.join(swallowed(multi), ["file", "rec_no"], "left")
+        part = (F.col("line_no") - F.col("first_line")).alias("part")
+        records = records.unionByName(
+            marked.where(F.col("first_line").isNotNull()).select("file", "rec_no", part, *HEADER_FACTS, record)
+        )
+        multi = marked.where(F.col("first_line").isNull())
+    joined = (
+        multi.groupBy("file", "rec_no")
         .agg(
             *[F.first(c).alias(c) for c in HEADER_FACTS],
             F.array_join(
@@ -197,15 +244,16 @@ def read_records(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM)
                 "\n",
             ).alias("record"),
         )
-        .withColumn("record", F.rtrim("record", F.lit("\r")))
+        .select("file", "rec_no", no_part, *HEADER_FACTS, F.rtrim("record", F.lit("\r")).alias("record"))
     )
-    records = single.unionByName(multi).where(F.col("rec_no") > 1)
+    records = records.unionByName(joined).where((F.col("rec_no") > 1) | (F.col("part") > 0))
     path = _plain_path(F.col("file"))
     first = F.regexp_extract(path, SLICE, 2).try_cast("bigint")
     return records.select(
         F.element_at(F.split(path, "/"), -1).alias("file"),
         _post(path, post_pattern).alias("post"),
         (F.col("rec_no") + F.coalesce(first - 2, F.lit(0))).alias("record_no"),
+        "part",
         fx.split_record(F.col("record")).alias("fields"),
         *HEADER_FACTS,
     )
@@ -236,7 +284,8 @@ def with_header(records: DataFrame) -> DataFrame:
 def parse_records(records: DataFrame) -> DataFrame:
     """Typed columns plus ok; rows that fit neither shape, or hold bad values, are not ok.
 
-    Blank records are dropped (they keep their number, so ids stay stable).
+    Blank records are dropped (they keep their number, so ids stay stable). A record with a part (see
+    read_records) has the id post#number.part.
     """
     off = F.when(F.col("threaded"), 2).otherwise(0)
 
@@ -244,16 +293,9 @@ def parse_records(records: DataFrame) -> DataFrame:
         def at(i: int) -> Column:
             return F.try_element_at(f, (off + F.lit(i + 1)).cast("int"))
 
-        split_ts = (
-            (F.size(f) == F.col("n_header") + 1)
-            & strip(at(1)).rlike(fx.DATE_SHAPE)
-            & at(2).rlike(fx.CLOCK_SHAPE)
-        )
-        quoted_ts = (F.size(f) == F.col("n_header")) & at(1).contains(",")
         comma = F.instr(at(1), ",")
-        shape = F.when(split_ts, 1).when(quoted_ts, 2)
         return let(
-            shape,
+            record_shape(f),
             lambda s: F.struct(
                 F.exists(f, lambda x: strip(x) != "").alias("filled"),
                 strip(at(0)).alias("username"),
@@ -274,10 +316,13 @@ def parse_records(records: DataFrame) -> DataFrame:
     # a generator is a barrier for filters: every record is parsed once
     rows = records.select(*records.columns, F.inline(F.transform(F.array("fields"), typed)))
     whole = F.col("ts").isNotNull() & F.col("likes").isNotNull() & F.col("text").isNotNull()
+    number = F.col("record_no").cast("string")
+    if "part" in records.columns:
+        number = F.when(F.col("part") > 0, F.concat_ws(".", "record_no", "part")).otherwise(number)
     return (
         rows.where("filled")
         .drop("filled")
-        .withColumn("id", F.concat_ws("#", "post", "record_no"))
+        .withColumn("id", F.concat_ws("#", F.col("post"), number))
         .withColumn("ok", whole)
     )
 
@@ -295,8 +340,8 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 
 
 def read_comments(spark: SparkSession, path, post_pattern: str = POST_FROM_STEM):
-    """(comments, quarantine) of a folder of exports."""
-    parsed = parse_records(read_records(spark, path, post_pattern))
+    """(comments, quarantine) of a folder of exports. Rows swallowed by a stray quote are read (see read_records)."""
+    parsed = parse_records(read_records(spark, path, post_pattern, resync=True))
     return comments(parsed), quarantine(parsed)
 
 

@@ -116,6 +116,58 @@ def test_stray_quote_loses_no_rows(spark, tmp_path, split_bytes):
     assert all(got[f"S#{i + 2}"] == (f"u{i}", f"text {i}") for i in range(60) if i not in (9, 20))
 
 
+def strays(rows, tmp_path, spark, split_bytes="200"):
+    (tmp_path / "T.csv").write_text("username,timestamp,likes,komentar\n" + "\n".join(rows) + "\n", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        good, bad = rc.read_comments(spark, str(tmp_path))
+        return {r.id: (r.username, r.text) for r in good.collect()}, [r.fields for r in bad.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("split_bytes", ["200", "1000000"])
+@pytest.mark.parametrize("closer", ['"also open', '"a, well ""quoted"" text"'])
+def test_quotes_that_close_a_stray_one_lose_no_rows(spark, tmp_path, split_bytes, closer):
+    """The rows between keep the number of the stretch, with a part; those behind keep their numbers."""
+    rows = [f"u{i},8/3/2024, 05.12.33,{i},text {i}" for i in range(60)]
+    rows[9] = 'two,8/3/2024, 05.12.33,1,"a\nb"'
+    rows[20] = 'stray,8/3/2024, 05.12.33,1,"never, closed'
+    rows[40] = f"closer,8/3/2024, 05.12.33,1,{closer}"
+    rows[50] = 'three,8/3/2024, 05.12.33,1,"c\nd\ne"'
+    got, bad = strays(rows, tmp_path, spark, split_bytes)
+    assert bad == [] and len(got) == 60
+    assert got["T#11"] == ("two", "a\nb") and got["T#22"] == ("stray", "never, closed")
+    assert all(got[f"T#22.{i - 20}"] == (f"u{i}", f"text {i}") for i in range(21, 40))
+    assert got["T#22.20"] == ("closer", closer.strip('"').replace('""', '"'))
+    # The stretch counts once, as for any reader that takes quotes at their word.
+    assert all(got[f"T#{i - 18}"] == (f"u{i}", f"text {i}") for i in range(41, 60) if i != 50)
+    assert got["T#32"] == ("three", "c\nd\ne")
+
+
+def test_several_strays_and_the_last_one_open(spark, tmp_path):
+    rows = [f"u{i},8/3/2024, 05.12.33,{i},text {i}" for i in range(40)]
+    for i in (3, 4, 10, 30, 38):
+        rows[i] = f'u{i},8/3/2024, 05.12.33,{i},"text {i}'
+    got, bad = strays(rows, tmp_path, spark)
+    assert bad == [] and sorted(got.values()) == sorted((f"u{i}", f"text {i}") for i in range(40))
+    assert len({*got}) == 40
+
+
+def test_quoted_rows_inside_a_comment_stay_there(spark, tmp_path):
+    """A pasted row, and quotes inside a text, make no stretch on their own."""
+    rows = ['a,8/3/2024, 05.12.33,1,"see\nb,8/3/2024, 05.12.33,1,pasted\nend"', 'c,8/3/2024, 05.12.33,1,"one\ntwo "three" four"', "d,8/3/2024, 05.12.33,1,last"]
+    got, bad = strays(rows, tmp_path, spark)
+    assert got["T#2"] == ("a", "see\nb,8/3/2024, 05.12.33,1,pasted\nend") and got["T#4"] == ("d", "last")
+    assert sorted(got) == ["T#2", "T#3", "T#4"] and bad == []
+
+
+def test_numbers_of_parts(spark):
+    df = spark.createDataFrame([("p#17",), ("p#17.2",), ("p#x",), ("p#1.5x",)], "id string")
+    assert [r[0] for r in df.select(fx.record_number(F.col("id"))).collect()] == [17, 17, None, None]
+
+
 def test_split_and_join_are_inverse(spark):
     rows = [["a", "b,c", 'd"e', "f\ng", ""], [" x", '"']]
     df = spark.createDataFrame([(r,) for r in rows], "f array<string>")

@@ -44,7 +44,9 @@ def release_scores(df: DataFrame, salt: bytes) -> DataFrame:
 def mask_records(records: DataFrame, salt: bytes) -> DataFrame:
     """Raw records with only identities changed; their shape, blanks included, is kept.
 
-    records: fields array<string>, threaded boolean (as read by sources.ragged_csv).
+    records: fields array<string>, threaded boolean (as read by sources.ragged_csv). Names in rows that a stray
+    quote swallowed are only masked if the records were read with resync; in the copy such rows are then records like
+    any other, so later ones of the file count on from them.
     """
     f, n = F.col("fields"), F.size("fields")
     blank = ~F.exists(f, lambda x: strip(x) != "")
@@ -62,13 +64,14 @@ def mask_records(records: DataFrame, salt: bytes) -> DataFrame:
 
 
 def raw_lines(records: DataFrame) -> DataFrame:
-    return records.select("post", "record_no", fx.join_record(F.col("fields")).alias("value"))
+    part = ["part"] if "part" in records.columns else []
+    return records.select("post", "record_no", *part, fx.join_record(F.col("fields")).alias("value"))
 
 
 def write_lines(
     rows: DataFrame, header: str | DataFrame, path: str, per_file: int = 5_000_000
 ) -> None:
-    """Lines (post, record_no, value) as text under path/post=.../first_record=N/, header first.
+    """Lines (post, record_no, value, perhaps part) as text under path/post=.../first_record=N/, header first.
 
     A large post is spread over several files by record number, so no task holds it whole. The
     folder names the number of the file's first record, so that reading the files with
@@ -76,20 +79,21 @@ def write_lines(
     from 2. header: one line for all posts, or a frame (post, header).
     """
     first = F.greatest(F.floor(F.col("record_no") / per_file) * per_file, F.lit(2)).cast("bigint")
-    rows = rows.select("post", "record_no", "value", first.alias("first_record"))
+    part = F.col("part") if "part" in rows.columns else F.lit(0)
+    rows = rows.select("post", "record_no", part.cast("bigint").alias("part"), "value", first.alias("first_record"))
     slices = rows.select("post", "first_record").distinct()
     if isinstance(header, DataFrame):
         slices = slices.join(header.select("post", "header"), "post", "left")
     else:
         slices = slices.withColumn("header", F.lit(header))
     heads = slices.select(
-        "post", F.lit(-1).cast("bigint").alias("record_no"), F.col("header").alias("value"), "first_record"
+        "post", F.lit(-1).cast("bigint").alias("record_no"), F.lit(0).cast("bigint").alias("part"), F.col("header").alias("value"), "first_record"
     )
     (
         rows.unionByName(heads)
         .repartition("post", "first_record")
-        .sortWithinPartitions("post", "first_record", "record_no")
-        .drop("record_no")
+        .sortWithinPartitions("post", "first_record", "record_no", "part")
+        .drop("record_no", "part")
         .write.partitionBy("post", "first_record")
         .text(path)
     )

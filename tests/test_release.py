@@ -104,3 +104,17 @@ def test_manifest_file(spark, tmp_path):
     layers = release.manifest({"a": spark.range(3), "b": spark.range(5)})
     release.write_manifest(spark, layers, str(tmp_path / "m"), title="t")
     assert json.loads(spark.read.text(str(tmp_path / "m")).collect()[0][0]) == {"title": "t", "rows": {"a": 3, "b": 5}}
+
+
+def test_rows_behind_a_stray_quote_are_masked(spark, tmp_path):
+    rows = ['ann,8/3/2024, 05.12.33,1,"cut off', *[f"name{i},8/3/2024, 05.12.33,{i},text {i}" for i in range(12)], 'zoe,8/3/2024, 05.12.33,1,"hi, @ann"']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "P.csv").write_text("username,timestamp,likes,komentar\n" + "\n".join(rows) + "\n", encoding="utf-8")
+    records = rc.read_records(spark, str(tmp_path / "in"), resync=True)
+    out = str(tmp_path / "out")
+    release.write_raw(release.mask_records(records, SALT), "username,timestamp,likes,komentar", out)
+    lines = [line for f in sorted((tmp_path / "out").rglob("*.txt")) for line in f.read_text(encoding="utf-8").splitlines()]
+    assert len(lines) == 15 and not any(x in line for line in lines for x in ("ann,", "@ann", "name", "zoe") if line != lines[0])
+    assert [line.rpartition(",")[2] for line in lines[1:-1]] == ["cut off", *[f"text {i}" for i in range(12)]]
+    good, bad = rc.read_comments(spark, f"{out}/*/*/*.txt")
+    assert good.count() == 14 and bad.count() == 0

@@ -12,7 +12,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from discursa import config
 from discursa.functions.binding import direct, let
@@ -74,6 +74,21 @@ def _nfkc_casefold(texts: pa.Array) -> pa.Array:
     return _each(lambda t: unicodedata.normalize("NFKC", t).casefold(), texts)
 
 
+# Both forms from one normalisation.
+@F.arrow_udf(StructType().add("nfkc", StringType()).add("fold", StringType()))
+def _nfkc_forms(texts: pa.Array) -> pa.Array:
+    normal = _each(lambda t: unicodedata.normalize("NFKC", t), texts)
+    return pa.StructArray.from_arrays([normal, _each(str.casefold, normal)], names=["nfkc", "fold"])
+
+
+def nfkc_forms(text: Column) -> Column:
+    """(nfkc, fold): what nfkc and nfkc_casefold give, texts normalised once. Bind it to a column before
+    its fields are used."""
+    made = _nfkc_forms(F.when(text.rlike(_UNSTABLE), text))
+    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return F.struct(F.coalesce(made["nfkc"], text).alias("nfkc"), F.coalesce(made["fold"], folded).alias("fold"))
+
+
 def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(text.rlike(_UNSTABLE), text)), text)
 

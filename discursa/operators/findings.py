@@ -181,16 +181,16 @@ def top_rows(df: DataFrame, measure: str, tie: str, k: int = 3) -> DataFrame:
 def enrich(comments: DataFrame) -> DataFrame:
     """Derived columns of the comment table that depend on one row only."""
     text = F.col("text")
-    normal = comments.withColumns({"_nfkc": tx.nfkc(text), "_fold": tx.nfkc_casefold(text)})
-    clean = normal.withColumn("clean", tx.clean_of_nfkc(F.col("_nfkc")))
+    normal = comments.withColumn("_forms", tx.nfkc_forms(text))
+    clean = normal.withColumn("clean", tx.clean_of_nfkc(F.col("_forms.nfkc")))
     return clean.select(
         *comments.columns,
         "clean",
         lx.event_phase(F.col("ts")).alias("phase"),
         F.length("clean").alias("n_chars"),
-        tx.emoji_only_of_nfkc(F.col("_nfkc")).alias("emoji_only"),
+        tx.emoji_only_of_nfkc(F.col("_forms.nfkc")).alias("emoji_only"),
         tx.emoji_string(text).alias("emoji"),
-        tx.cluster_id(tx.dup_key_of_folded(F.col("_fold"))).alias("cluster"),
+        tx.cluster_id(tx.dup_key_of_folded(F.col("_forms.fold"))).alias("cluster"),
     )
 
 

@@ -7,14 +7,16 @@ scores are computed on those.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from discursa import config
-from discursa.operators import ranking
 from discursa.session import stage
 
 KEYS = ["model", "task"]
@@ -191,15 +193,62 @@ def bootstrap_ci(
     )
 
 
+DRAWS = 1 << 17  # draws that a task holds at once
+GROUPS = 64  # groups whose counts a task holds at once
+
+
+def _drawn(n_resamples: int, seed: int):
+    """(_group, _id, _n, bounds) in order of _id to (_group, rep, cell, n): how often each cell is drawn."""
+
+    def run(batches):
+        counts: dict[int, np.ndarray] = {}
+        heads = [f"{seed}:{rep}".encode() for rep in range(1, n_resamples + 1)]
+
+        def emit():
+            for group, n in counts.items():
+                rep, cell = np.nonzero(n)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                columns = (np.full(len(rep), group), rep + 1, cell, n[rep, cell])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["_group", "rep", "cell", "n"])
+            counts.clear()
+
+        def draw(part):
+            coded = part.column("_id").dictionary_encode("encode")
+            tails = [b"" if x is None else b":" + x.encode() for x in coded.dictionary.to_pylist()]
+            of, n, group = coded.indices.to_numpy(), part.column("_n").to_numpy(), part.column("_group").to_numpy()
+            found = []
+            for g, first in zip(*np.unique(group, return_index=True)):
+                bounds, rows = np.array(part.column("bounds")[int(first)].as_py(), np.int64), np.flatnonzero(group == g)
+                found.append((bounds, of[rows], n[rows], counts.setdefault(int(g), np.zeros((n_resamples, len(bounds)), np.int64))))
+            step = max(1, DRAWS // len(part))
+            for a in range(0, n_resamples, step):
+                digests = b"".join([md5(h + t).digest() for h in heads[a : a + step] for t in tails])
+                u = (np.frombuffer(digests, ">u8")[::2] >> 4).astype(np.int64).reshape(-1, len(tails))
+                for bounds, ids, times, total in found:
+                    cell = np.searchsorted(bounds, u[:, ids] % bounds[-1], "right")
+                    cell += np.arange(len(u))[:, None] * len(bounds)
+                    sums = np.bincount(cell.ravel(), weights=np.tile(times, len(u)), minlength=len(u) * len(bounds))
+                    total[a : a + step] += sums.astype(np.int64).reshape(len(u), -1)
+
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                draw(batch.slice(a, 1024))
+                if len(counts) > GROUPS:
+                    yield from emit()
+        yield from emit()
+
+    return run
+
+
 def bootstrap_scores_by_hash(
     preds: DataFrame, classes: list[str], n_resamples: int, id_col: str = "id", seed: int = config.SEED,
     keys: list[str] | None = None,
 ) -> DataFrame:
     """Row-level variant with hash-driven draws (reproducible in plain SQL), for every group of keys.
 
-    Every row makes one draw per resample. The draw's position is looked up in the group's cumulated
-    confusion counts, an array of at most (K+1)^2 bounds (labels outside the domain count as one)
-    that travels with the row; no resample is joined with anything.
+    Every row makes one draw per resample, hashed once for all groups that its id is in. The draw's position
+    is looked up in the group's cumulated confusion counts, an array of at most (K+1)^2 bounds (labels
+    outside the domain count as one) that travels with the row; no resample is joined with anything.
     """
     keys, asked = (keys, keys) if keys else (["_all"], [])
     known = {
@@ -212,19 +261,17 @@ def bootstrap_scores_by_hash(
     zero = F.array().cast("array<bigint>")
     last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint"))
     bounds = F.aggregate("cells", zero, lambda acc, c: F.concat(acc, F.array(last(acc) + c["n"])))
-    cells = stage(cells.withColumn("bounds", bounds).withColumn("total", F.element_at(bounds, -1)), "cells")
-    narrow = preds.select(*keys, F.col(id_col).cast("string").alias("_id"))
+    cells = cells.withColumn("bounds", bounds).withColumn("total", F.element_at(bounds, -1))
+    cells = stage(cells.withColumn("_group", F.monotonically_increasing_id()), "cells")
+    narrow = preds.groupBy(*keys, F.col(id_col).cast("string").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
     same = [narrow[k].eqNullSafe(cells[k]) for k in keys]
-    rows = narrow.join(cells, same).select(*[narrow[k] for k in keys], "_id", "bounds", "total")
-    draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_resamples))))
-    u = F.conv(
-        F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rep", "_id")), 1, 15), 16, 10
-    ).cast("bigint")
-    placed = ranking.with_place(draws, "cell", u % F.col("total"), "bounds", (len(classes) + 1) ** 2)
-    drawn = placed.groupBy(*keys, "rep", "cell").agg(F.count(F.lit(1)).alias("n"))
-    same = [drawn[k].eqNullSafe(cells[k]) for k in keys]
-    named = drawn.join(cells, same).select(
-        *[drawn[k] for k in keys], "rep", drawn["n"],
+    rows = narrow.join(cells, same).select("_group", "_id", "_n", "bounds")
+    parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a draw costs more than its bytes tell
+    rows = rows.repartition(parts, "_id").sortWithinPartitions("_id")
+    draws = rows.mapInArrow(_drawn(n_resamples, seed), "_group long, rep int, cell int, n long")
+    drawn = draws.groupBy("_group", "rep", "cell").agg(F.sum("n").alias("n"))
+    named = drawn.join(cells, "_group").select(
+        *keys, "rep", "n",
         *[F.element_at("cells", F.col("cell") + 1)[c].alias(c) for c in ("y_true", "y_pred")],
     )
     return class_scores(named, classes, [*keys, "rep"]).groupBy(*asked, "rep").agg(F.avg("f1").alias("macro_f1"))

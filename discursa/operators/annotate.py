@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -23,6 +23,7 @@ Completion = Callable[[list[dict]], str]
 # What a completion may raise when no answer comes: time-outs and connections (OSError has both), and an
 # answer without the parts that were asked for. Anything else is a fault of the program and ends the job.
 FAILURES = (TimeoutError, ConnectionError, OSError, KeyError)
+ASKED = 256  # prompts turned into messages at once
 CONCURRENCY = 8  # calls under way at once in a task
 
 
@@ -35,8 +36,8 @@ def complete(
     threads, unless concurrency is 1. Exceptions outside `failures` end the job.
     """
 
-    @F.pandas_udf(StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(StringType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ask = make()
 
         def safe(messages):
@@ -47,7 +48,10 @@ def complete(
 
         with ThreadPoolExecutor(concurrency) as pool:
             for prompts in batches:
-                yield pd.Series(list(pool.map(safe, prompts)), dtype="object")
+                answers: list[str | None] = []
+                for a in range(0, len(prompts), ASKED):  # only these are Python objects, the rest stays in Arrow
+                    answers += pool.map(safe, prompts.slice(a, ASKED).to_pylist())
+                yield pa.array(answers, pa.string())
 
     return run(prompt)
 

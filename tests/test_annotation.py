@@ -113,3 +113,22 @@ def test_faults_of_the_program_end_the_job(spark):
         assert {r[0] for r in df.select(annotate.complete(F.col("p"), failing(error))).collect()} == {None}
     with pytest.raises(Exception, match="ZeroDivisionError|PythonException|PYTHON"):
         df.select(annotate.complete(F.col("p"), failing(ZeroDivisionError()))).collect()
+
+
+def test_few_prompts_are_objects_at_once(spark):
+    """A batch of Arrow rows may be large: only ASKED prompts of it become messages at a time."""
+
+    def make():
+        import gc
+
+        def ask(messages):
+            if messages[-1]["content"] not in ("x0", "x3000"):
+                return "y"
+            return str(sum(type(o) is dict and o.keys() == {"role", "content"} for o in gc.get_objects()))
+
+        return ask
+
+    df = spark.range(0, 4000, 1, 1).select(F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("x"), "id").alias("content"))).alias("p"))
+    answers = [r[0] for r in df.select(annotate.complete(F.col("p"), make)).collect()]
+    assert len(answers) == 4000 and answers.count("y") == 3998
+    assert max(int(answers[0]), int(answers[3000])) <= 2 * annotate.ASKED + 2 * annotate.CONCURRENCY

@@ -30,9 +30,8 @@ from discursa.llm.textbatch import mix, tidy
 
 SLOTS = 1 << 18
 ORDERS = 6
-#: Classes of documents (the most frequent values, and the rest), words broadcast, words the mixer
-#: learns from at most.
-CLASSES, HOT_WORDS, MIX_WORDS = 8, 1 << 15, 40_000
+#: Classes of documents (the most frequent values, and the rest), words broadcast.
+CLASSES, HOT_WORDS = 8, 1 << 15
 CHUNK = 1 << 14
 END = 0x20
 
@@ -107,6 +106,7 @@ class Mixer:
         self.weights = np.full((8 * 16, ORDERS + 1), 0.3)
         self.weights[:, -1] = 0
         self.apm = np.tile(_squash(np.linspace(-8, 8, STEPS)), (8, 1))
+        self.gates, self.tops = np.zeros(len(self.weights)), np.zeros(8 * STEPS)
 
     def inputs(self, hashes, node, bit_no: int, less: np.ndarray | None, bit=None):
         """(log odds of each predictor, gate). less: counts to take out, as the word's own."""
@@ -134,8 +134,9 @@ class Mixer:
         refined = self.apm[bit_no][lo] * (1 - f) + self.apm[bit_no][lo + 1] * f
         return z, np.clip((_squash(z) + refined) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, words: list[bytes], counts: np.ndarray, batch: int = 256, rate: float = 0.02) -> None:
-        """One pass over the words, a batch of words at a time."""
+    def learn(self, words: list[bytes], counts: np.ndarray, batch: int = 1024, rate: float = 0.02) -> None:
+        """One pass over the words, a batch of words at a time. Counts how many bits chose each gate, and each
+        entry of the table (self.gates, self.tops)."""
         for a in range(0, len(words), batch):
             data, word, hashes = _contexts(words[a : a + batch])
             own = counts[a : a + batch][word].astype(np.float64)
@@ -146,9 +147,11 @@ class Mixer:
                 n = np.bincount(gate, minlength=len(self.weights))
                 total = np.stack([np.bincount(gate, weights=step[:, k], minlength=len(self.weights)) for k in range(ORDERS + 1)], axis=1)
                 self.weights += rate * total / np.maximum(np.sqrt(n), 1)[:, None]
+                self.gates += n
                 lo, f = self._refine(z, i)
                 near = lo + (f > 0.5)
                 n = np.bincount(near, minlength=STEPS)
+                self.tops[i * STEPS : (i + 1) * STEPS] += n
                 ones = np.bincount(near, weights=bit, minlength=STEPS)
                 self.apm[i] += np.minimum(0.02 * n, 0.5) * (ones / np.maximum(n, 1) - self.apm[i])
 
@@ -215,6 +218,34 @@ def _sum_chunk(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
+def _lesson(shared):
+    """(word, count) to the weights and table entries learned from a task's words, with the number of bits
+    behind each."""
+
+    def run(batches):
+        mixer = Mixer(shared.value)
+        for batch in batches:
+            mixer.learn([w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy())
+        value, bits = np.concatenate([mixer.weights.ravel(), mixer.apm.ravel()]), np.concatenate([np.repeat(mixer.gates, ORDERS + 1), mixer.tops])
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(value[at]), pa.array(bits[at])], names=["place", "value", "bits"])
+
+    return tidy(run)
+
+
+def trained(words: DataFrame, tables: np.ndarray) -> Mixer:
+    """A Mixer that learned from all rows (word, count) of `words`: each partition learns by itself, and entries
+    are averaged by the bits they were learned from. What comes to the driver is one number an entry."""
+    mixer = Mixer(tables)
+    lessons = words.mapInArrow(_lesson(words.sparkSession.sparkContext.broadcast(tables)), "place int, value double, bits double")
+    flat = np.concatenate([mixer.weights.ravel(), mixer.apm.ravel()])
+    for r in lessons.groupBy("place").agg((F.sum(F.col("value") * F.col("bits")) / F.sum("bits")).alias("v")).collect():
+        flat[r.place] = r.v
+    mixer.weights = flat[: mixer.weights.size].reshape(mixer.weights.shape)
+    mixer.apm = flat[mixer.weights.size :].reshape(mixer.apm.shape)
+    return mixer
+
+
 def _spelled(mixer: Mixer):
     def run(batches):
         for batch in batches:
@@ -359,9 +390,7 @@ def score(docs: DataFrame, held: Column, class_col: str = "lang", classes: int =
     for r in chunks.groupBy("chunk").applyInArrow(lambda t: _sum_chunk(t), "chunk int, counts binary").toLocalIterator():
         k, c = divmod(r.chunk, SLOTS)
         tables[k, :, c : c + CHUNK] = np.frombuffer(r.counts, np.float32).reshape(2, CHUNK)
-    mixer = Mixer(tables)
-    lesson = known.orderBy(F.xxhash64("word"), "word").limit(MIX_WORDS).collect()
-    mixer.learn([r.word.encode() for r in lesson], np.array([r.c for r in lesson], np.int64))
+    mixer = trained(known.orderBy(F.xxhash64("word"), "word"), tables)
 
     spelled = vocab.mapInArrow(_spelled(mixer), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vocab.schema.fields) + ", bits double")
     share = lambda n, total: F.col(n) / F.lit(float(max(total, 1)))

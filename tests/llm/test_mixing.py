@@ -214,3 +214,24 @@ def test_score_equals_plain_sums(spark, classes, names):
                 p *= (q + (1 - q) * own if w in hot else q) if right else (1 - q) * own
             total += p
         assert got[i] == pytest.approx(math.log10(total), rel=1e-9), i
+
+
+def test_speller_learns_from_every_word_of_every_partition(spark):
+    rng = np.random.default_rng(8)
+    words = sorted({bytes(rng.integers(97, 107, rng.integers(1, 9)).astype(np.uint8)) for _ in range(3000)})
+    counts = rng.integers(1, 9, len(words))
+    tables = mixing.count_tables(words, counts)
+    cut = len(words) // 2
+    parts = [(words[:cut], counts[:cut]), (words[cut:], counts[cut:])]
+    rows = [(w.decode(), int(c)) for w, c in zip(words, counts)]
+    got = mixing.trained(spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "word string, c long"), tables)
+    value, bits = 0.0, 0.0
+    for w, c in parts:
+        mixer = mixing.Mixer(tables)
+        mixer.learn(w, c)
+        n = mixer.gates[:, None]
+        assert n.sum() == 8 * sum(len(x) + 1 for x in w)
+        value, bits = value + mixer.weights * n, bits + n
+    some = bits[:, 0] > 0
+    np.testing.assert_allclose(got.weights[some], (value / np.maximum(bits, 1))[some], rtol=1e-9)
+    assert (got.weights[~some] == mixing.Mixer(tables).weights[~some]).all()

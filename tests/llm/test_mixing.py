@@ -221,10 +221,11 @@ def test_speller_learns_from_every_word_of_every_partition(spark):
     words = sorted({bytes(rng.integers(97, 107, rng.integers(1, 9)).astype(np.uint8)) for _ in range(3000)})
     counts = rng.integers(1, 9, len(words))
     tables = mixing.count_tables(words, counts)
-    cut = len(words) // 2
-    parts = [(words[:cut], counts[:cut]), (words[cut:], counts[cut:])]
     rows = [(w.decode(), int(c)) for w, c in zip(words, counts)]
-    got = mixing.trained(spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "word string, c long"), tables)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "word string, c long")
+    parts = [([r.word.encode() for r in part], np.array([r.c for r in part])) for part in df.rdd.glom().collect()]
+    assert len(parts) == 2 and sum(len(w) for w, _ in parts) == len(words)
+    got = mixing.trained(df, tables)
     value, bits = 0.0, 0.0
     for w, c in parts:
         mixer = mixing.Mixer(tables)

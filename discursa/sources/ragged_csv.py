@@ -17,7 +17,9 @@ or rows of their own; `swallowed` weighs both by what lines tell, without puttin
 from __future__ import annotations
 
 import hashlib
+import re
 import urllib.parse
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -391,18 +393,33 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["path", "sha256"])
 
 
+def _piecewise(spark: SparkSession, path: str) -> bool:
+    """Whether tasks read the files of path themselves; a path that names no scheme has that of the default file system."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
+    if scheme:
+        return scheme[1] in PIECEWISE
+    files = spark.read.format("binaryFile").load(path).inputFiles()
+    return not files or files[0].partition(":")[0] in PIECEWISE
+
+
 def file_checksums(spark: SparkSession, paths, root: str | None = None) -> DataFrame:
     """(file, sha256) per input file. file is the path below `root`, without it the file's own name.
 
-    Tasks read files in pieces of constant size, whatever their length; a task has one file at a time. On
-    file systems that only Spark reads a file comes whole in one row, of 2 GB at most.
+    Tasks read files in pieces of constant size, whatever their length; a task has one file at a time. Spark lists
+    these files and does not open them. On file systems that only Spark reads a file comes whole in one row, of 2 GB
+    at most.
     """
-    loaded = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
-    scheme = F.substring_index("path", ":", 1)
-    pieces = loaded.where(scheme.isin(*PIECEWISE)).select("path").mapInArrow(_hashed, "path string, sha256 string")
-    whole = loaded.where(~scheme.isin(*PIECEWISE)).select("path", F.sha2("content", 256).alias("sha256"))
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    pieces = [p for p in paths if _piecewise(spark, p)]
+    whole = [p for p in paths if p not in pieces]
+    source = spark.read.format("binaryFile")
+    parts = []
+    if pieces or not whole:
+        parts.append(source.load(pieces).select("path").mapInArrow(_hashed, "path string, sha256 string"))
+    if whole:
+        parts.append(source.load(whole).select("path", F.sha2("content", 256).alias("sha256")))
     name = F.element_at(F.split("path", "/"), -1)
     if root is not None:
         inside = root.partition(":")[2].lstrip("/") if ":" in root else root.strip("/")
         name = F.substring_index("path", f"{inside.rstrip('/')}/", -1)
-    return pieces.union(whole).select(name.alias("file"), "sha256")
+    return reduce(DataFrame.union, parts).select(name.alias("file"), "sha256")

@@ -198,3 +198,23 @@ def test_checksums_of_folders_and_large_files(spark, tmp_path):
     names = {r.file: r.sha256 for r in got}
     want = {k: hashlib.sha256(v).hexdigest() for k, v in content.items()}
     assert names == want
+
+
+def test_checksums_open_no_file_in_spark(spark, tmp_path):
+    import hashlib
+
+    data = bytes(range(256)) * 20
+    (tmp_path / "a b.bin").write_bytes(data)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)  # Spark's reader refuses to read longer files
+    try:
+        for path in (str(tmp_path), f"file:{tmp_path}", [f"{tmp_path}/*.bin"]):
+            assert [tuple(r) for r in rc.file_checksums(spark, path).collect()] == [("a b.bin", hashlib.sha256(data).hexdigest())]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_checksums_of_other_file_systems_come_whole(spark, folder, monkeypatch):
+    want = sorted(map(tuple, rc.file_checksums(spark, folder).collect()))
+    monkeypatch.setattr(rc, "PIECEWISE", ())
+    assert sorted(map(tuple, rc.file_checksums(spark, folder).collect())) == want and len(want) == 2

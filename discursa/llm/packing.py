@@ -17,11 +17,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discursa.llm.textbatch import tidy
+from discursa.llm.textbatch import text_slices, tidy
 
 END_ID = 2
 LENGTH = 4096
@@ -29,7 +30,19 @@ SEGMENTS = 512
 OPEN_BINS = 16
 CACHE_WORDS = 100_000
 MARKS = b".,;:!?|*#$%&"
-JOINED = 50  # new words encoded in one call
+JOINED = 200  # new words encoded in one call
+
+
+def _apart(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of folded texts with a space between a letter or digit (ASCII, or of the first two
+    blocks of Unicode) and the punctuation after it, where the tokenizer parts them anyway."""
+    plain, mark = np.zeros(256, bool), np.zeros(256, bool)
+    plain[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+    mark[list(MARKS)] = True
+    at = np.flatnonzero(mark[data[1:]]) + 1
+    before, lead = data[at - 1], data[at - 2]  # at 1, lead is some other byte, and before none that needs one
+    at = at[plain[before] | (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)]
+    return np.insert(data, at, 0x20), off + np.searchsorted(at, off)
 
 
 class WordTokenizer:
@@ -55,37 +68,38 @@ class WordTokenizer:
         self.tok, self.caches, self.ends = kept[path]
         self.special = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
 
+    def _recall(self, words: set[bytes]) -> set[bytes]:
+        """The words that neither cache holds; those of the older one go to the younger."""
+        young, old = self.caches
+        words = words.difference(young)
+        kept = old.keys() & words
+        young.update(zip(kept, map(old.__getitem__, kept)))
+        return words - kept
+
     def _learn(self, words: set[bytes]) -> None:
+        """Afterwards the younger cache holds all the words."""
         if len(self.caches[0]) > CACHE_WORDS:
             self.caches[:] = [{}, self.caches[0]]
-        young, old = self.caches
-        split, new = [], set()
-        for w in words:
-            ids = old.get(w)
-            if ids is not None:
-                young[w] = ids
-                continue
+        young = self.caches[0]
+        split, new, parts = [], [], set()
+        for w in self._recall(words):
             core = w.rstrip(MARKS)
-            if core != w and core and core.decode()[-1].isalnum():
-                split.append((w, core, w[len(core) :]))
+            if len(core) != len(w) and core and core.decode()[-1].isalnum():
+                tail = w[len(core) :]
+                split.append((w, core, tail))
+                parts.add(core)
+                parts.add(tail)
             else:
-                new.add(w)
-        for _, core, tail in split:
-            for x in (core, tail):
-                if x not in young:
-                    if x in old:
-                        young[x] = old[x]
-                    else:
-                        new.add(x)
-        self._encode(list(new), young)
+                new.append(w)
+        self._encode([*new, *self._recall(parts.difference(new))], young)
         for w, core, tail in split:
             young[w] = young[core] + young[tail]
 
     def _encode(self, words: list[bytes], into: dict) -> None:
         """Ids of words; words of letters go together in one text and are told apart by their word ends."""
         letters, rest = [], []
-        for w in words:
-            (letters if w.decode().isalpha() else rest).append(w)
+        for w, text in zip(words, b" ".join(words).decode().split(" ")):
+            (letters if text.isalpha() else rest).append(w)
         groups = [letters[a : a + JOINED] for a in range(0, len(letters), JOINED)]
         joined = [b" ".join(g).decode() for g in groups]
         for g, e in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False)):
@@ -99,35 +113,51 @@ class WordTokenizer:
         for w, e in zip(rest, self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             into[w] = array("I", e.ids).tobytes()
 
-    def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """One array a text."""
-        get = self.caches[0].get
-        rows, missing = [], set()
-        for text in texts:
-            raw = (text or "").encode()
-            folded = raw.lower()  # ASCII letters only
-            if b"\xcc" not in raw:  # U+0300 to U+033F
-                raw = folded
-            if any(s in folded for s in self.special):  # a special token may end inside a word
-                rows.append((None, None))
-                continue
-            words = raw.split()  # ASCII white space only
-            got = list(map(get, words))
-            if None in got:
-                missing.update([w for w, g in zip(words, got) if g is None])
-                rows.append((words, got))
+    def ids(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """One array a text. Only the distinct words of a run of texts become Python objects."""
+        for _, _, raw, off in text_slices(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())):
+            yield from self._run(raw.tobytes(), off)
+
+    def _run(self, raw: bytes, off: np.ndarray) -> Iterator[np.ndarray]:
+        low = bytearray(raw.lower())  # ASCII letters only
+        owner = lambda at: int(np.searchsorted(off, at, "right")) - 1
+        alone = set()  # texts with a special token, which may end inside a word
+        for s in self.special:
+            at = low.find(s)
+            while at >= 0:
+                k = owner(at)
+                inside = at + len(s) <= off[k + 1]
+                if inside:
+                    alone.add(k)
+                at = low.find(s, int(off[k + 1]) if inside else at + 1)
+        at = raw.find(b"\xcc")  # U+0300 to U+033F
+        while at >= 0:
+            k = owner(at)
+            low[off[k] : off[k + 1]] = raw[off[k] : off[k + 1]]
+            at = raw.find(b"\xcc", int(off[k + 1]))
+        for k in alone:
+            low[off[k] : off[k + 1]] = b" " * int(off[k + 1] - off[k])
+        data, to = _apart(np.frombuffer(low, np.uint8), off)
+        words = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(to) - 1, pa.py_buffer(to), pa.py_buffer(data)))
+        to = words.offsets.to_numpy()
+        words = words.flatten().dictionary_encode()
+        word = words.indices.to_numpy()
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        self._learn(set(distinct))
+        got = list(map(self.caches[0].__getitem__, distinct))
+        flat = np.frombuffer(b"".join(got), np.uint32)
+        n = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        first = np.cumsum(n) - n
+        ends = np.concatenate([[0], np.cumsum(n[word])])
+        at = np.repeat(first[word] - ends[:-1], n[word])
+        at += np.arange(len(at))
+        ids = flat[at]
+        cut = ends[to - to[0]]
+        for k in range(len(off) - 1):
+            if k in alone:
+                yield np.array(self.tok.encode(raw[off[k] : off[k + 1]].decode(), add_special_tokens=False).ids, np.uint32)
             else:
-                rows.append((None, got))
-        if missing:
-            self._learn(missing)
-        young = self.caches[0]
-        for text, (words, got) in zip(texts, rows):
-            if got is None:
-                yield np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            if words is not None:
-                got = [young[w] if g is None else g for w, g in zip(words, got)]
-            yield np.frombuffer(b"".join(got), np.uint32)
+                yield ids[cut[k] : cut[k + 1]]
 
 
 class Packer:
@@ -207,15 +237,16 @@ def _pack(path: str, length: int, segments: int, loss: int, open_bins: int, keep
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * keep_ids)
 
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
-                placed = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.ids(part.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    waiting[number] = [doc_id, ids, len(ids)]
-                    placed += packer.put(number, len(ids))
-                    number += 1
-                yield from rows(placed)
+            placed = []
+            for k, (doc_id, ids) in enumerate(zip(batch.column(0).to_pylist(), tokenizer.ids(batch.column(1)))):
+                ids = np.append(ids, np.uint32(END_ID))
+                waiting[number] = [doc_id, ids, len(ids)]
+                placed += packer.put(number, len(ids))
+                number += 1
+                if k % 256 == 255:
+                    yield from rows(placed)
+                    placed = []
+            yield from rows(placed)
         yield from rows(packer.finish())
 
     return tidy(run)

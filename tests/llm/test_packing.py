@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from discursa.llm.packing import WordTokenizer, pack
 from discursa.llm.tables import documents
 from tokenizers import Tokenizer
@@ -54,3 +56,23 @@ def test_words_give_the_ids_of_the_text():
     for text in ("á é", "I'm don't\tIT'S <|endoftext|> x", "a\x1cb c d", "12 345", "", "x́ y", "H\u0331 h\u0331 İx ΑΣ Σ", "<|ENDOFTEXT|> A", "ǅ ª ﬁ ẞ e\u0301A",
                  " ".join(f"İ{chr(97 + i % 26)}{chr(97 + i // 26)} Ab{chr(97 + i % 26)}É" for i in range(120))):
         assert list(next(tok.ids([text]))) == tok.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_words_with_punctuation_need_no_ids_of_their_own():
+    tok = WordTokenizer(PATH)
+    text = "zzqx. Zzqx, zzqx### zzqé; zzqx7| zzq× zzqx:zzqx"
+    assert list(next(tok.ids([text]))) == tok.tok.encode(text, add_special_tokens=False).ids
+    learned = set().union(*tok.caches)
+    assert {b"zzqx", "zzqé".encode()} <= learned and not {b"zzqx.", b"zzqx,", b"zzqx###", "zzqé;".encode(), b"zzqx7|"} & learned
+
+
+def test_runs_of_texts_keep_apart():
+    tok = WordTokenizer(PATH)
+    rng = random.Random(5)
+    signs = [*"aZ9é×÷Àÿ.,;:!?|*#$%&'- \t\x0b\x0c\x1c\x85\u0331\u0301ßIﬁΣς—中٣²<>", "<|endoftext|>", "<|END", "oftext|>", "'s", "'LL"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    texts += ["", None, ".", "é.", "a.", "<|end", "oftext|> a", "\u0331 A", "A"]
+    for given in (texts, pa.array(["cut", *texts], pa.string())[1:], pa.array(texts, pa.large_string())):
+        for text, ids in zip(texts, tok.ids(given), strict=True):
+            assert list(ids) == tok.tok.encode(text or "", add_special_tokens=False).ids, text
+    assert list(tok.ids([])) == []

@@ -17,16 +17,15 @@ and their sums are Spark aggregates over the whole corpus; only tables of fixed
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discursa.llm import history
 from discursa.llm.tables import staged
-from discursa.llm.textbatch import mix, tidy
+from discursa.llm.textbatch import mix, text_slices, tidy
 
 SLOTS = 1 << 18
 ORDERS = 6
@@ -103,6 +102,7 @@ class Mixer:
 
     def __init__(self, tables: np.ndarray):
         self.tables = tables
+        self.odds: np.ndarray | None = None
         self.weights = np.full((8 * 16, ORDERS + 1), 0.3)
         self.weights[:, -1] = 0
         self.apm = np.tile(_squash(np.linspace(-8, 8, STEPS)), (8, 1))
@@ -110,26 +110,43 @@ class Mixer:
 
     def inputs(self, hashes, node, bit_no: int, less: np.ndarray | None, bit=None):
         """(log odds of each predictor, gate). less: counts to take out, as the word's own."""
-        x = np.empty((len(node), ORDERS + 1))
+        x = np.empty((ORDERS + 1, len(node)))
+        x[-1] = 1
         seen = []
+        if less is None:
+            if self.odds is None:  # of whole counts, once a slot
+                n0, n1 = self.tables[:, 0].astype(np.float64), self.tables[:, 1].astype(np.float64)
+                self.odds = _stretch((n1 + 0.3) / (n0 + n1 + 0.6))
+        else:
+            less0, less1 = less * (bit == 0), less * (bit == 1)
         for k, h in enumerate(hashes):
             s = _slots(h, node, k)
+            if less is None:
+                x[k] = self.odds[k][s]
+                if k < 4:
+                    continue
             n0, n1 = self.tables[k, 0][s].astype(np.float64), self.tables[k, 1][s].astype(np.float64)
             if less is not None:
-                n0, n1 = np.maximum(n0 - less * (bit == 0), 0), np.maximum(n1 - less * (bit == 1), 0)
-            x[:, k] = _stretch((n1 + 0.3) / (n0 + n1 + 0.6))
+                n0, n1 = np.maximum(n0 - less0, 0), np.maximum(n1 - less1, 0)
+                x[k] = _stretch((n1 + 0.3) / (n0 + n1 + 0.6))
             seen.append(n0 + n1)
-        x[:, -1] = 1
-        level = lambda n: np.searchsorted([0.5, 8, 200], n)
-        return x, bit_no * 16 + level(seen[5]) * 4 + level(seen[4])
+        level = lambda n: (n > 0.5).astype(np.int64) + (n > 8) + (n > 200)
+        return x.T, bit_no * 16 + level(seen[-1]) * 4 + level(seen[-2])
 
     def _refine(self, z: np.ndarray, bit_no: int):
         at = (np.clip(z, -7.999, 7.999) + 8) * (STEPS - 1) / 16
         lo = at.astype(np.int64)
         return lo, at - lo
 
+    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Log odds of the predictors by the gate's weights."""
+        z = x[:, 0] * self.weights[gate, 0]
+        for k in range(1, ORDERS + 1):
+            z += x[:, k] * self.weights[gate, k]
+        return z
+
     def predict(self, x, gate, bit_no: int):
-        z = (x * self.weights[gate]).sum(axis=1)
+        z = self._mixed(x, gate)
         lo, f = self._refine(z, bit_no)
         refined = self.apm[bit_no][lo] * (1 - f) + self.apm[bit_no][lo + 1] * f
         return z, np.clip((_squash(z) + refined) / 2, 1e-6, 1 - 1e-6)
@@ -142,10 +159,10 @@ class Mixer:
             own = counts[a : a + batch][word].astype(np.float64)
             for i, node, bit in _bits(data):
                 x, gate = self.inputs(hashes, node, i, own, bit)
-                z, _ = self.predict(x, gate, i)
-                step = (bit - _squash(z))[:, None] * x
+                z = self._mixed(x, gate)
+                error = bit - _squash(z)
                 n = np.bincount(gate, minlength=len(self.weights))
-                total = np.stack([np.bincount(gate, weights=step[:, k], minlength=len(self.weights)) for k in range(ORDERS + 1)], axis=1)
+                total = np.stack([np.bincount(gate, weights=error * x[:, k], minlength=len(self.weights)) for k in range(ORDERS + 1)], axis=1)
                 self.weights += rate * total / np.maximum(np.sqrt(n), 1)[:, None]
                 self.gates += n
                 lo, f = self._refine(z, i)
@@ -168,29 +185,28 @@ class Mixer:
         return out
 
 
-def _tokens(text: str | None) -> Counter:
-    """Tokens of a text with counts; the end is the empty word."""
-    c = Counter((text or "").encode().lower().split())  # both ASCII only
-    c[b""] = 1
-    return c
-
-
 def _vocabulary(n_classes: int):
     """(class or -1, text) to (word, counts by class); class -1 adds words without counts."""
 
     def run(batches):
         for batch in batches:
-            for a in range(0, len(batch), 4096):
-                part = batch.slice(a, 4096)
-                total: dict[int, Counter] = {}
-                for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    total.setdefault(k, Counter()).update(_tokens(text))
-                for k, c in total.items():
-                    words = list(c)
-                    n = np.fromiter(c.values(), np.int64, len(c)) if k >= 0 else np.zeros(len(c), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([w.decode() for w in words], pa.string()), pa.array(np.full(len(words), k, np.int32)), pa.array(n)], names=["word", "k", "n"]
-                    )
+            kinds = batch.column(0).to_numpy()
+            for a, b, raw, off in text_slices(batch.column(1), 1 << 24):
+                kind = kinds[a:b].astype(np.int64) + 1
+                low = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(off), pa.py_buffer(raw.tobytes().lower()))
+                words = pc.ascii_split_whitespace(low)  # both ASCII only
+                n_words = np.diff(words.offsets.to_numpy())
+                words = words.flatten().dictionary_encode()
+                place = words.indices.to_numpy() * np.int64(n_classes + 1) + np.repeat(kind, n_words)
+                n = np.bincount(place, minlength=len(words.dictionary) * (n_classes + 1))
+                at = np.flatnonzero(n)
+                word, k, n = words.dictionary.take(pa.array(at // (n_classes + 1))), at % (n_classes + 1), n[at]
+                kept = np.flatnonzero(pc.binary_length(word).to_numpy(zero_copy_only=False))  # around a text's white space is the empty word
+                ends = np.bincount(kind)
+                of = np.flatnonzero(ends)  # each text has one end
+                word = pa.concat_arrays([word.take(pa.array(kept)).cast(pa.string()), pa.array([""] * len(of), pa.string())])
+                k, n = np.concatenate([k[kept], of]) - 1, np.concatenate([n[kept], ends[of]])
+                yield pa.RecordBatch.from_arrays([word, pa.array(k.astype(np.int32)), pa.array(np.where(k >= 0, n, 0).astype(np.int64))], names=["word", "k", "n"])
 
     return run
 

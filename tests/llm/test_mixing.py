@@ -236,3 +236,18 @@ def test_speller_learns_from_every_word_of_every_partition(spark):
     some = bits[:, 0] > 0
     np.testing.assert_allclose(got.weights[some], (value / np.maximum(bits, 1))[some], rtol=1e-9)
     assert (got.weights[~some] == mixing.Mixer(tables).weights[~some]).all()
+
+
+def test_spelling_takes_the_log_of_a_slot_once(monkeypatch):
+    words, counts = [b"alpha", b"beta", b"gamma", b"delta"], np.array([4, 2, 1, 7])
+    mixer = mixing.Mixer(mixing.count_tables(words, counts))
+    mixer.learn(words * 10, np.tile(counts, 10))
+    first = mixer.spell([b"alphabet", b"zeta"])
+    monkeypatch.setattr(mixing, "_stretch", None)
+    assert (mixer.spell([b"alphabet", b"zeta"]) == first).all()
+
+
+def test_vocabulary_counts_words_and_ends():
+    texts = pa.RecordBatch.from_arrays([pa.array([0, 1, 0, -1, 0], pa.int32()), pa.array(["A b a", "a", None, "new\u00a0x b", ""])], names=["k", "text"])
+    got = sorted((r["k"], r["word"], r["n"]) for out in mixing._vocabulary(2)([texts]) for r in out.to_pylist())
+    assert got == [(-1, "", 0), (-1, "b", 0), (-1, "new\u00a0x", 0), (0, "", 3), (0, "a", 2), (0, "b", 1), (1, "", 1), (1, "a", 1)]
